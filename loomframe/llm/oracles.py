@@ -13,10 +13,25 @@ select doc_id, count(*)::bigint as n_lines, count(*) filter (where gone)::bigint
   sha256(coalesce(string_agg(line, chr(10) order by pos) filter (where not gone), '')) as kept_sha256
 from m group by doc_id"""
 
+_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+_LEAKS = f"""
+with i as (select item_id, {_WORDS} as w from benchmark),
+w as (select distinct item_id, least(10, len(w)) as n, array_to_string(list_slice(w, p, p + least(10, len(w)) - 1), ' ') as win
+  from (select item_id, w, unnest(range(1, greatest(0, len(w) - least(10, len(w)) + 1) + 1)) as p from i where len(w) > 0)),
+d as (select doc_id, {_WORDS} as w from documents),
+x as (select doc_id, p, s.n, array_to_string(list_slice(d.w, p, p + s.n - 1), ' ') as win
+  from (select doc_id, w, n, unnest(range(1, greatest(0, len(w) - n + 1) + 1)) as p from d cross join (select distinct n from w)) d join (select distinct n from w) s on s.n = d.n),
+h as (select x.doc_id, x.p, x.n, w.item_id from x join w on w.n = x.n and w.win = x.win),
+c as (select doc_id, count(distinct q) as n_hit from (select doc_id, unnest(range(p, p + n)) as q from h) group by doc_id),
+s as (select doc_id, count(*) as n_items, string_agg(item, ',' order by item) as items from (select distinct doc_id, item_id::varchar as item from h) group by doc_id)
+select d.doc_id, len(d.w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items,
+  sha256(coalesce(items, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from d left join c using (doc_id) left join s using (doc_id)"""
+
 
 def lower_az(sql: str) -> str:
     """Replace lower_az(x) by translate() over A-Z alone: lower() also changes other letters."""
     return sql.replace("lower_az(", "translate_az(").replace("translate_az(key)", "translate(key, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")
 
 
-ORACLES: dict[str, str] = {"op9_line_dedup": lower_az(_LINE)}
+ORACLES: dict[str, str] = {"op8_decontamination": _LEAKS, "op9_line_dedup": lower_az(_LINE)}
