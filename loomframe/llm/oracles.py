@@ -28,10 +28,21 @@ select d.doc_id, len(d.w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hi
   sha256(coalesce(items, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
 from d left join c using (doc_id) left join s using (doc_id)"""
 
+_NEAR = r"""
+with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+s as (select distinct doc_id, array_to_string(list_slice(w, p, p + 2), ' ') as s from (select doc_id, w, unnest(range(1, greatest(len(w) - 2, 1) + 1)) as p from w where len(w) > 0)),
+n as (select doc_id, count(*) as n from s group by doc_id),
+p as (select a.doc_id as a, b.doc_id as b, count(*) as common from s a join s b on a.s = b.s and a.doc_id <> b.doc_id group by 1, 2),
+e as (select a, b from p join n x on x.doc_id = a join n y on y.doc_id = b where 100 * common >= 85 * (x.n + y.n - common)),
+r as (select doc_id as node, doc_id as root from documents union select e.b, r.root from r join e on e.a = r.node),
+c as (select node, min(root) as component_id from r group by node)
+select d.doc_id, coalesce(n.n, 0)::bigint as n_shingles, c.component_id, d.doc_id = c.component_id as kept
+from documents d join c on c.node = d.doc_id left join n on n.doc_id = d.doc_id"""
+
 
 def lower_az(sql: str) -> str:
     """Replace lower_az(x) by translate() over A-Z alone: lower() also changes other letters."""
     return sql.replace("lower_az(", "translate_az(").replace("translate_az(key)", "translate(key, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")
 
 
-ORACLES: dict[str, str] = {"op8_decontamination": _LEAKS, "op9_line_dedup": lower_az(_LINE)}
+ORACLES: dict[str, str] = {"op5_near_dedup": _NEAR, "op8_decontamination": _LEAKS, "op9_line_dedup": lower_az(_LINE)}
