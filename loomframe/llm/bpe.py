@@ -28,7 +28,8 @@ from .common import Texts, chunks, ship
 
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Pieces whose ids a worker remembers; a full memory is emptied, which changes no result.
-MEMORY_PIECES = 200_000
+MEMORY_PIECES = 400_000
+MEMORY_PAIRS = 400_000
 #: Longer pieces are not remembered.
 MEMORY_CHARS = 40
 
@@ -42,6 +43,22 @@ def _byte_letters() -> dict[str, int]:
     return table
 
 
+class _Memory(dict):
+    """Piece to its ids as packed 32-bit numbers; what is missing is encoded."""
+
+    def __init__(self, bpe: BytePairEncoder):
+        super().__init__()
+        self.bpe = bpe
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = np.array(self.bpe.encode_piece(piece.encode()), np.int32).tobytes()
+        if len(piece) <= MEMORY_CHARS:
+            if len(self) >= MEMORY_PIECES:
+                self.clear()
+            self[piece] = ids
+        return ids
+
+
 class BytePairEncoder:
     """Encoder and decoder of one byte-level vocabulary file."""
 
@@ -81,7 +98,7 @@ class BytePairEncoder:
         self.offsets, self.buffer = ends, np.frombuffer(b"".join(self.tokens), np.uint8)
         self.split_special = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
         self.pieces = regex.compile(PATTERN)
-        self.memory: dict[str, tuple[str, int, bytes]] = {}
+        self.memory = _Memory(self)
 
     def _shorter(self, k: int) -> int:
         """The longest usable token that is a proper prefix of token k."""
@@ -100,6 +117,8 @@ class BytePairEncoder:
         """
         known = self.may_follow.get((a, b))
         if known is None:
+            if len(self.may_follow) >= MEMORY_PAIRS:
+                self.may_follow.clear()
             known = self.may_follow[a, b] = self._check(a, b)
         return known
 
@@ -133,11 +152,20 @@ class BytePairEncoder:
         return best
 
     def encode_piece(self, data: bytes) -> list[int]:
-        whole = self.by_bytes.get(data)
         if len(data) == 1:
-            return [whole]
-        longest = self._longest(data.decode("latin-1"))
-        out: list[int] = []
+            return [self.by_bytes[data]]
+        shown = data.decode("latin-1")
+        # the walk's first tries, as the automaton finds them in one go; mostly they all fit
+        out = [k for _, k in self.automaton.iter_long(shown)]
+        fits, last = self.may_follow, -1
+        for token in out:
+            if last >= 0 and not (fits[last, token] if (last, token) in fits else self._compatible(last, token)):
+                break
+            last = token
+        else:
+            return out
+        longest = self._longest(shown)
+        out = []
         at, n = 0, len(data)
         dead = bytearray(n + 1)  # ends from which no way leads on
         token = longest[0]
@@ -160,10 +188,6 @@ class BytePairEncoder:
                 token = self.shorter[token]
         return out
 
-    def _piece(self, piece: str) -> tuple[str, int, list[int]]:
-        ids = self.encode_piece(piece.encode())
-        return ",".join(map(str, ids)), len(ids), ids
-
     def spans(self, text: str) -> Iterator[tuple[str, bool]]:
         """Stretches of the text, and whether each is a special token."""
         at = 0
@@ -176,24 +200,16 @@ class BytePairEncoder:
             yield text[at:], False
 
     def encode(self, text: str) -> list[int]:
-        out: list[int] = []
+        return self.encode_array(text).tolist()
+
+    def encode_array(self, text: str) -> np.ndarray:
+        out: list[bytes] = []
         for part, special in self.spans(text):
             if special:
-                out.append(self.special[part])
+                out.append(np.int32(self.special[part]).tobytes())
             else:
-                for piece in self.pieces.findall(part):
-                    out += self._known(piece)
-        return out
-
-    def _known(self, piece: str) -> tuple[int, ...]:
-        ids = self.memory.get(piece)
-        if ids is None:
-            ids = tuple(self.encode_piece(piece.encode()))
-            if len(piece) <= MEMORY_CHARS:
-                if len(self.memory) >= MEMORY_PIECES:
-                    self.memory.clear()
-                self.memory[piece] = ids
-        return ids
+                out += map(self.memory.__getitem__, self.pieces.findall(part))
+        return np.frombuffer(b"".join(out), np.int32)
 
     def decode(self, ids: np.ndarray) -> bytes:
         """Bytes of the tokens, gathered from one buffer."""
@@ -227,7 +243,7 @@ def encode_documents(docs: DataFrame, path: str) -> DataFrame:
         for batch in batches:
             for part in chunks(batch):
                 texts = Texts(part.column("text"))
-                ids = [np.array(bpe.encode(texts.bytes(i).decode()), np.int32) for i in range(texts.n)]
+                ids = [bpe.encode_array(texts.bytes(i).decode()) for i in range(texts.n)]
                 ends = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
                 decoded = [bpe.decode(x).decode(errors="replace") for x in ids]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids))), pa.array(decoded, pa.string())], [*part.schema.names, "ids", "decoded"])
@@ -238,10 +254,6 @@ def encode_documents(docs: DataFrame, path: str) -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
-def _decimal(limit: int) -> list[bytes]:
-    return [str(k).encode() for k in range(limit)]
-
-
 def token_digests(docs: DataFrame, path: str) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256): ids and texts are hashed where they are made."""
     ship(docs.sparkSession)
@@ -254,7 +266,7 @@ def token_digests(docs: DataFrame, path: str) -> DataFrame:
                 texts = Texts(part.column("text"))
                 count, ids_digest, text_digest = [], [], []
                 for i in range(texts.n):
-                    ids = np.array(bpe.encode(texts.bytes(i).decode()), np.int64)
+                    ids = bpe.encode_array(texts.bytes(i).decode())
                     count.append(len(ids))
                     ids_digest.append(hashlib.sha256(",".join(names[ids]).encode()).hexdigest())
                     text_digest.append(hashlib.sha256(bpe.decode(ids).decode(errors="replace").encode()).hexdigest())
