@@ -39,10 +39,19 @@ c as (select node, min(root) as component_id from r group by node)
 select d.doc_id, coalesce(n.n, 0)::bigint as n_shingles, c.component_id, d.doc_id = c.component_id as kept
 from documents d join c on c.node = d.doc_id left join n on n.doc_id = d.doc_id"""
 
+_VECTORS = r"""
+with recursive v as (select vec_id, label, embedding::double[] as e, sqrt(list_dot_product(embedding::double[], embedding::double[])) as n from embeddings),
+e as (select a.vec_id as a, b.vec_id as b from v a join v b on a.label = b.label and a.vec_id <> b.vec_id where list_dot_product(a.e, b.e) / (a.n * b.n) >= 0.98),
+r as (select vec_id as node, vec_id as root from v union select e.b, r.root from r join e on e.a = r.node),
+c as (select node, min(root) as component_id from r group by node),
+k as (select a, count(*) as n from e group by a)
+select v.vec_id, coalesce(k.n, 0)::bigint as n_links, c.component_id, v.vec_id = c.component_id as kept
+from v join c on c.node = v.vec_id left join k on k.a = v.vec_id"""
+
 
 def lower_az(sql: str) -> str:
     """Replace lower_az(x) by translate() over A-Z alone: lower() also changes other letters."""
     return sql.replace("lower_az(", "translate_az(").replace("translate_az(key)", "translate(key, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")
 
 
-ORACLES: dict[str, str] = {"op5_near_dedup": _NEAR, "op8_decontamination": _LEAKS, "op9_line_dedup": lower_az(_LINE)}
+ORACLES: dict[str, str] = {"op5_near_dedup": _NEAR, "op7_embedding_dedup": _VECTORS, "op8_decontamination": _LEAKS, "op9_line_dedup": lower_az(_LINE)}

@@ -11,6 +11,7 @@ from . import quality, secrets
 from .bpe import token_digests
 from .common import table
 from .decontaminate import find_leaks
+from .embedding_dedup import near_vectors
 from .html_text import extract_text
 from .line_dedup import drop_repeated_lines
 from .near_dedup import near_duplicates
@@ -50,6 +51,10 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False)).alias("held_out"), "score", "predicted")
 
 
+def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = find_leaks(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
     return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"), F.sha2(F.array_join(F.array_sort("items"), ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
@@ -60,4 +65,4 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", "url", "text", F.length("text").cast("bigint").alias("n_chars"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secrets, op4_bpe, op5_near_dedup, op6_quality, op8_decontamination, op9_line_dedup, op10_html_text)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secrets, op4_bpe, op5_near_dedup, op6_quality, op7_embedding_dedup, op8_decontamination, op9_line_dedup, op10_html_text)}
