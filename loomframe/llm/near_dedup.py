@@ -5,13 +5,16 @@ register of 16 bits (leading zeros and ten mantissa bits).  Consecutive register
 
 * A set of few shingles uses just enough bands that sets within the threshold cannot differ in all of
   them (a shingle touches one band only), so no link of small sets is missed.
-* Larger sets use BANDS bands of REGISTERS // BANDS registers: two sets at the threshold 0.85 share
-  none with probability below 1e-6.
+* Larger sets use BANDS bands of REGISTERS // BANDS registers: two sets of similarity 0.85 share none
+  with probability 7e-9, of 0.8 with 3e-6.
 
 Documents with equal sets are one class.  Classes that share a band are first compared with the
-smallest class there (a star), then the classes that are still in different components, pair by
-pair.  A pair is kept by the registers' collision-corrected Jaccard estimate (with a margin of six
-standard errors), then confirmed on both full sets.
+smallest class there (a star): a pair is kept by the registers' collision-corrected Jaccard estimate
+(with a margin of six standard errors), then confirmed on both full sets.  Classes that share a band
+with another component after that are searched once more, exactly: each set is put in one order,
+rare shingles first, and pairs across components are those that share a shingle of both prefixes
+where positions still allow the threshold.  Texts that merely share a passage, however many, share
+no such place, so groups of them cost no pairs.  These too are confirmed on both full sets.
 
 Cases: null texts and texts without words have no set: they link with nothing and are components of
 their own.  Fewer words than a shingle give one shingle.  Rows without a doc_id are left out.  Rows
@@ -32,10 +35,14 @@ from pyspark.sql import functions as F
 from .common import LOWER, Texts, chunks, cut, mix, prefix_hash, range_hash, ship, words
 from .components import components
 
-REGISTERS = 352
-BANDS = 44
+REGISTERS = 160
+BANDS = 32
 MANTISSA_BITS = 10
 EMPTY = 0xFFFF
+#: Counters that tell frequent shingles from rare ones; only the order of search depends on them.
+COUNTERS = 1 << 20
+#: Ids that may be sent to every task (16 MB at most); more are joined by a shuffle.
+BROADCAST_IDS = 1_000_000
 
 _IS_WORD = np.ones(256, bool)
 _IS_WORD[[0x20, *range(0x09, 0x0E)]] = False
@@ -177,6 +184,12 @@ def _likely(pairs: DataFrame, sketches: DataFrame, num: int, den: int) -> DataFr
     return both.mapInArrow(keep, "a bigint, b bigint")
 
 
+def _texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(doc_id, text) of the documents in `ids`, which must hold each doc_id once."""
+    few = ids.count() <= BROADCAST_IDS
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(F.broadcast(ids) if few else ids.hint("shuffle_hash"), "doc_id")
+
+
 def _confirm(pairs: DataFrame, docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
     """Those of `pairs` whose full sets are similar enough."""
 
@@ -195,11 +208,65 @@ def _confirm(pairs: DataFrame, docs: DataFrame, size: int, num: int, den: int) -
                 ok.append(den * same >= num * (len(x) + len(y) - same))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    full = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(wanted.hint("shuffle_hash"), "doc_id", "left_semi").mapInArrow(sets, "id bigint, set binary")
-    full = cut(full)
+    wanted = cut(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
+    full = cut(_texts_of(docs, wanted).mapInArrow(sets, "id bigint, set binary"))
     side = lambda x: full.select(F.col("id").alias(x), F.col("set").alias(f"set_{x}"))
-    return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(test, "a bigint, b bigint")
+    return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(test, "a bigint, b bigint").distinct()
+
+
+def _rarity(texts: DataFrame, size: int) -> np.ndarray:
+    """How common shingles are, in COUNTERS hashed counters: a table of fixed size.
+
+    Each task leaves out what it has seen once; the counts steer the order of search and nothing else.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(COUNTERS, np.int64)
+        for batch in batches:
+            for part in chunks(batch):
+                for one in shingle_sets(Texts(part.column("text")), size):
+                    total[(one & np.uint64(COUNTERS - 1)).astype(np.int64)] += 1
+        some = np.flatnonzero(total > 1)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["at", "n"])
+
+    out = np.zeros(COUNTERS, np.int64)
+    for row in texts.select("text").mapInArrow(count, "at bigint, n bigint").groupBy("at").agg(F.sum("n").alias("n")).toLocalIterator():
+        out[row["at"]] = row["n"]
+    return out
+
+
+def _across(placed: DataFrame, docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
+    """Pairs (a, b) of `placed` (doc_id, component) from different components that prefixes and positions leave."""
+    spark = docs.sparkSession
+    texts = _texts_of(docs, placed)
+    sent = spark.sparkContext.broadcast(_rarity(texts, size))
+
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common = sent.value
+        for batch in batches:
+            for part in chunks(batch):
+                rows, tokens, places, sizes = [], [], [], []
+                for i, one in enumerate(shingle_sets(Texts(part.column("text")), size)):
+                    n = len(one)
+                    if n:
+                        order = np.lexsort((one, common[(one & np.uint64(COUNTERS - 1)).astype(np.int64)]))
+                        keep = n - -(-num * n // den) + 1
+                        tokens.append(one[order[:keep]])
+                        rows.append(np.full(keep, i))
+                        places.append(np.arange(keep))
+                        sizes.append(np.full(keep, n))
+                if rows:
+                    at = pa.array(np.concatenate(rows))
+                    flat = [pa.array(np.concatenate(x).astype(np.int64)) for x in (places, sizes)]
+                    yield pa.RecordBatch.from_arrays([part.column("doc_id").take(at), part.column("component").take(at), pa.array(np.concatenate(tokens).view(np.int64)), *flat], ["doc_id", "component", "token", "place", "n"])
+
+    found = cut(texts.mapInArrow(prefixes, "doc_id bigint, component bigint, token bigint, place bigint, n bigint"))
+    mixed = found.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("token")
+    found = cut(found.join(mixed, "token"))
+    side = lambda x: found.select("token", *[F.col(c).alias(f"{c}_{x}") for c in ("doc_id", "component", "place", "n")])
+    bound = f"{num + den} * least(n_a - place_a, n_b - place_b) >= {num} * (n_a + n_b)"
+    both = side("a").join(side("b"), "token")
+    return both.where(f"doc_id_a < doc_id_b and component_a != component_b and {bound}").select(F.col("doc_id_a").alias("a"), F.col("doc_id_b").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -209,28 +276,28 @@ def near_duplicates(docs: DataFrame, size: int = 5, num: int = 80, den: int = 10
     """
     ship(docs.sparkSession)
     rows = cut(_sketches(docs, size, num, den))
-    # classes of equal sets; a doc_id that carries several texts ties its classes together
-    classes = cut(rows.where("n_shingles > 0").groupBy("n_shingles", "s1", "s2").agg(F.min("doc_id").alias("rep"), F.first("regs").alias("regs"), F.first("keys").alias("keys")))
-    banded = classes.select("rep", F.explode("keys").alias("key"))
-    shared = banded.groupBy("key").agg(F.min("rep").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "hub")
+    slim = rows.select("doc_id", "n_shingles", "s1", "s2")
+    same = ["n_shingles", "s1", "s2"]
+    # classes of equal sets; the smallest id of a class stands for it
+    classes = cut(slim.where("n_shingles > 0").groupBy(*same).agg(F.min("doc_id").alias("rep")))
+    sketches = rows.join(classes, same).where("doc_id = rep").dropDuplicates(["rep", *same])
+    banded = sketches.select("rep", F.explode("keys").alias("key"))
+    shared = banded.groupBy("key").agg(F.min("rep").alias("hub"), F.max("rep").alias("last")).where("hub != last").select("key", "hub")
     members = cut(banded.join(shared, "key").select("key", "rep", "hub"))
     stars = members.where("rep != hub").select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct()
-    sketches = classes.select("rep", "n_shingles", "regs")
-    linked = cut(_confirm(cut(_likely(stars, sketches, num, den)), docs, size, num, den))
+    linked = cut(_confirm(cut(_likely(stars, sketches.select("rep", "n_shingles", "regs"), num, den)), docs, size, num, den))
     found = components(linked)
-    # classes that share a band but are still apart: every such pair across components
+    # classes that share a band with another component
     placed = members.join(found.select(F.col("node").alias("rep"), "component"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("component"))
     apart = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("key")
-    open_ = cut(placed.join(apart, "key"))
-    other = open_.select("key", F.col("rep").alias("b"), F.col("component").alias("cb"))
-    across = open_.select("key", F.col("rep").alias("a"), F.col("component").alias("ca")).join(other, "key").where("a < b and ca != cb").select("a", "b").distinct()
-    late = cut(_confirm(cut(_likely(across, sketches, num, den)), docs, size, num, den))
-    edges = linked.unionByName(late)
-    member = rows.where("n_shingles > 0").join(classes.select("n_shingles", "s1", "s2", "rep"), ["n_shingles", "s1", "s2"])
-    # the smallest id of a class stands for it; an id in two classes joins them
-    twice = member.select("doc_id", "rep").distinct().groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a != b").select("a", "b")
-    found = components(edges.unionByName(twice)) if late.head(1) or twice.head(1) else found
-    out = rows.select("doc_id", "n_shingles", "s1", "s2").join(classes.select("n_shingles", "s1", "s2", "rep"), ["n_shingles", "s1", "s2"], "left")
-    out = out.join(found, out.rep == found.node, "left")
+    left = cut(placed.join(apart, "key").select(F.col("rep").alias("doc_id"), "component").distinct())
+    late = cut(_confirm(cut(_across(left, docs, size, num, den)), docs, size, num, den))
+    # an id that carries several texts joins their classes
+    member = slim.where("n_shingles > 0").join(classes, same)
+    twice = member.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a != b").select("a", "b")
+    more = cut(late.unionByName(twice))
+    if more.head(1):
+        found = components(linked.unionByName(more))
+    out = slim.join(classes, same, "left").join(found, F.col("rep") == found.node, "left")
     component = F.coalesce("component", "rep", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))
