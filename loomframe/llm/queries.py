@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality, secrets
+from . import pii, quality, secrets
 from .bpe import token_digests
 from .common import table
 from .decontaminate import find_leaks
@@ -33,6 +33,13 @@ def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *counts, F.sha2(_joined("filter(secrets, s -> s.kind != 'crf')"), 256).alias("base_sha256"), _joined("secrets").alias("spans"))
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = pii.scan_pii(docs, pii.train(docs)).drop("text")
+    counts = [F.expr(f"cast(size(filter(pii, s -> s.kind = '{k}')) as bigint)").alias(f"n_{k}") for k in ("email", "ip", "card", "phone")]
+    return out.select("doc_id", *counts, F.sha2(_joined("filter(pii, s -> s.kind != 'other')"), 256).alias("base_sha256"), _joined("pii").alias("spans"))
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) -> DataFrame:
     if vocabulary is None:
         import public_tokenizers
@@ -65,4 +72,4 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", "url", "text", F.length("text").cast("bigint").alias("n_chars"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secrets, op4_bpe, op5_near_dedup, op6_quality, op7_embedding_dedup, op8_decontamination, op9_line_dedup, op10_html_text)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secrets, op3_pii, op4_bpe, op5_near_dedup, op6_quality, op7_embedding_dedup, op8_decontamination, op9_line_dedup, op10_html_text)}
