@@ -48,10 +48,26 @@ k as (select a, count(*) as n from e group by a)
 select v.vec_id, coalesce(k.n, 0)::bigint as n_links, c.component_id, v.vec_id = c.component_id as kept
 from v join c on c.node = v.vec_id left join k on k.a = v.vec_id"""
 
+#: Strings of 200 bytes are told apart by md5; `numbered` gives repeated rows numbers of their own.
+_REPEATS = r"""
+with numbered as (select row_number() over () as r, doc_id, encode(coalesce(text, '')) as t from documents),
+w as (select r, unnest(range(0, octet_length(t) - 199)) as p, t from numbered where octet_length(t) >= 200),
+k as (select r, p, md5(t[p + 1:p + 200]) as h from w),
+again as (select h from k group by h having count(*) > 1),
+s as (select r, p, coalesce(p - lag(p) over (partition by r order by p) > 200, true)::int as new from k semi join again using (h)),
+i as (select r, p, sum(new) over (partition by r order by p) as island from s),
+c as (select r, island, min(p) as a, max(p) + 200 as b from i group by r, island),
+kept as (select c.r, c.a as stop, coalesce(lag(c.b) over (partition by c.r order by c.a), 0) as start from c
+  union all select numbered.r, octet_length(t), coalesce(max(c.b), 0) from numbered left join c on c.r = numbered.r group by numbered.r, t),
+text as (select kept.r, string_agg(substr(hex(t), 2 * start + 1, 2 * (stop - start)), '' order by start) as x from kept join numbered on numbered.r = kept.r group by kept.r),
+n as (select r, sum(b - a)::bigint as n_removed, count(*)::bigint as n_spans from c group by r)
+select doc_id, octet_length(t)::bigint as n_bytes, coalesce(n_removed, 0)::bigint as n_removed, coalesce(n_spans, 0)::bigint as n_spans, sha256(unhex(x)) as kept_sha256
+from numbered join text using (r) left join n using (r)"""
+
 
 def lower_az(sql: str) -> str:
     """Replace lower_az(x) by translate() over A-Z alone: lower() also changes other letters."""
     return sql.replace("lower_az(", "translate_az(").replace("translate_az(key)", "translate(key, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")
 
 
-ORACLES: dict[str, str] = {"op5_near_dedup": _NEAR, "op7_embedding_dedup": _VECTORS, "op8_decontamination": _LEAKS, "op9_line_dedup": lower_az(_LINE)}
+ORACLES: dict[str, str] = {"op2_suffix_dedup": _REPEATS, "op5_near_dedup": _NEAR, "op7_embedding_dedup": _VECTORS, "op8_decontamination": _LEAKS, "op9_line_dedup": lower_az(_LINE)}

@@ -15,6 +15,7 @@ from .embedding_dedup import near_vectors
 from .html_text import extract_text
 from .line_dedup import drop_repeated_lines
 from .near_dedup import near_duplicates
+from .suffix_dedup import remove_repeats
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,6 +34,12 @@ def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *counts, F.sha2(_joined("filter(secrets, s -> s.kind != 'crf')"), 256).alias("base_sha256"), _joined("secrets").alias("spans"))
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table goes in as two batches, so that the second is scanned against the first one's array."""
+    out = remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), batches=2)
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = pii.scan_pii(docs, pii.train(docs)).drop("text")
@@ -72,4 +79,4 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", "url", "text", F.length("text").cast("bigint").alias("n_chars"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secrets, op3_pii, op4_bpe, op5_near_dedup, op6_quality, op7_embedding_dedup, op8_decontamination, op9_line_dedup, op10_html_text)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secrets, op2_suffix_dedup, op3_pii, op4_bpe, op5_near_dedup, op6_quality, op7_embedding_dedup, op8_decontamination, op9_line_dedup, op10_html_text)}
