@@ -31,7 +31,7 @@ TRAIN_TEXTS = 1500
 TRAIN_SPANS = 12
 PRECISION = 0.98
 
-_EMAIL = re.compile(rb"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+_DOMAIN = re.compile(rb"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 _IP = re.compile(rb"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 _CARD = re.compile(rb"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(rb"\+[0-9][\x20().0-9-]+[0-9]")
@@ -72,11 +72,26 @@ def _valid(kind: int, m: re.Match) -> bool:
     if kind == 0:
         return True
     if kind == 1:
-        return all(len(p.lstrip(b"0")) <= 3 and int(p) <= 255 for p in m[0].split(b"."))
+        return all(len(p.lstrip(b"0")) <= 3 and int(p.lstrip(b"0") or b"0") <= 255 for p in m[0].split(b"."))
     digits = _digits(m[0])
     return 13 <= len(digits) <= 19 and luhn(digits) if kind == 2 else 9 <= len(digits) <= 15
 
 
+def _emails(raw: bytes, start: int, end: int) -> Iterator[tuple[int, int]]:
+    """Matches of `[A-Za-z0-9._%+-]+@` and a domain within one run of such bytes.
+
+    Whether a match ends well depends on what follows its @ alone, so each @ is tried once: this takes
+    linear time where a search from every byte of a long run would not.
+    """
+    low, at = start, raw.find(b"@", start, end)
+    while at >= 0:
+        domain = _DOMAIN.match(raw, at + 1, end) if at > low else None
+        if domain:
+            yield low, domain.end()
+        low = domain.end() if domain else at + 1
+        at = raw.find(b"@", low, end)
+
+
 class Scan:
     """Pattern spans (row, kind, start, end) of a chunk of texts, in its bytes, and failed matches."""
 
@@ -87,7 +102,7 @@ class Scan:
         digits = np.concatenate([[0], np.cumsum(_DIGIT[texts.data])])
         signs = {c: np.concatenate([[0], np.cumsum(texts.data == c)]) for c in (64, 46, 43)}
         # a match lies inside one run of the bytes that it may hold, so only runs that can hold one are searched
-        for kind, (table, pattern, sign, least, n_digits) in enumerate(((_IN_EMAIL, _EMAIL, 64, 1, 0), (_IN_IP, _IP, 46, 3, 4), (_IN_CARD, _CARD, None, 0, 13), (_IN_PHONE, _PHONE, 43, 1, 9))):
+        for kind, (table, pattern, sign, least, n_digits) in enumerate(((_IN_EMAIL, None, 64, 1, 0), (_IN_IP, _IP, 46, 3, 4), (_IN_CARD, _CARD, None, 0, 13), (_IN_PHONE, _PHONE, 43, 1, 9))):
             start, end, _ = words(texts, table)
             ok = digits[end] - digits[start] >= n_digits
             if sign is not None:
@@ -95,6 +110,9 @@ class Scan:
             start, end = start[ok], end[ok]
             row = np.searchsorted(texts.offsets, start, "right") - 1
             for r, s, e in zip(row.tolist(), start.tolist(), end.tolist(), strict=True):
+                if pattern is None:
+                    self.spans += [(r, kind, *span) for span in _emails(self.raw, s, e)]
+                    continue
                 for m in pattern.finditer(self.raw, s, e):
                     (self.spans if _valid(kind, m) else self.failed).append((r, kind, m.start(), m.end()))
         self.digits = digits
