@@ -13,8 +13,9 @@ SPAN / 2 is enough.  The strings that share an anchor form a block, which is jud
 Each batch becomes a suffix array: its anchors ordered by core, then whole, equal ones as one entry
 with a count and one place.  `SuffixIndex` keeps such arrays as levels; a new batch is scanned against
 itself and every level by a merge on the core, and two levels of one rank are merged into one of the
-next rank before the next batch comes, so n batches keep log2(n) levels.  Entries of a common string
-are combined before they are shuffled, and no task gathers the places of one string.
+next rank before the next batch comes, so n batches keep log2(n) levels.  Cores of up to COMMON
+entries meet in one shuffle.  Entries of more common ones are kept out of it: they are combined before
+they are shuffled, and no task gathers the places of such a string.
 
 Cases: null text is empty.  Texts shorter than `length` lose nothing.  Rows are documents, whatever
 their doc_id: of two equal rows both lose their bytes.  Matches never cross rows.  Extra columns stay.
@@ -27,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import CHUNK_BYTES, Texts, _power, chunks, cut, mix, prefix_hash, range_hash, ship
@@ -39,6 +40,8 @@ SPAN = 128
 SPLITS = (SPAN, 16, 1)
 #: Bits that hold a place inside a piece of a text while anchors are chosen.
 _PLACE = np.uint64(21)
+#: Entries of one core that a task may judge together.
+COMMON = 1000
 #: Rows that may be sent to every task (24 MB at most); more are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
 _ENTRY = "doc bigint, at bigint, core bigint, whole bigint, n bigint"
@@ -113,7 +116,8 @@ def _hashes(texts: Texts, row: np.ndarray, place: np.ndarray, first: np.ndarray,
         base = max(0, at - SPAN)
         part = texts.data[base : at + CHUNK_BYTES + length]
         x, f, r = place[some], first[some], row[some]
-        core[some] = range_hash(prefix_hash(part), x - f - base, x - f - block + 1 + length - base)
+        # with `first` in the hash, the entries of a core in one round come from those of one core in the round before
+        core[some] = mix(range_hash(prefix_hash(part), x - f - base, x - f - block + 1 + length - base) + f.astype(np.uint64))
         low = np.maximum(texts.start[r], x - f - block + 1)
         high = np.minimum(texts.end[r], x - f + length)
         # how far the text reaches belongs to the hash: blocks cut short match only blocks cut alike
@@ -130,8 +134,9 @@ def _pack(place: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
     return place << 14 | high << 7 | low
 
 
-def _entries(texts: DataFrame, length: int) -> DataFrame:
-    """An entry for each anchor of `texts` (doc, text)."""
+def _entries(texts: DataFrame, length: int, common: np.ndarray | None = None, inside: bool = False) -> DataFrame:
+    """An entry for each anchor of `texts` (doc, text); of those whose core is in `common` all or none, if given."""
+    sent = None if common is None else texts.sparkSession.sparkContext.broadcast(common)
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -139,6 +144,9 @@ def _entries(texts: DataFrame, length: int) -> DataFrame:
                 held = Texts(part.column("text"))
                 row, place, low, high = anchors(held, length)
                 core, whole = _hashes(held, row, place, np.zeros_like(place), SPAN, length)
+                if sent is not None:
+                    keep = np.isin(core.view(np.int64), sent.value) == inside
+                    row, place, low, high, core, whole = (x[keep] for x in (row, place, low, high, core, whole))
                 yield _batch(part.column("doc").take(pa.array(row)), _pack(place - held.start[row], low, high), core, whole, np.ones(len(row), np.int64))
 
     return texts.mapInArrow(make, _ENTRY)
@@ -175,6 +183,14 @@ def _combined(entries: DataFrame) -> DataFrame:
     return entries.groupBy("core", "whole").agg(F.sum("n").alias("n"), spot.alias("spot")).select("core", "whole", "n", "spot.doc", "spot.at")
 
 
+def _judged(entries: DataFrame) -> DataFrame:
+    """(doc, at, n, marked, chosen) of entries that are one or the other; rows are partitioned by core."""
+    equal, core = Window.partitionBy("core", "whole"), Window.partitionBy("core")
+    seen = entries.select("doc", "at", "core", "whole", F.row_number().over(equal.orderBy("doc", "at")).alias("k"), F.sum("n").over(equal).alias("n"))
+    seen = seen.withColumn("mixed", F.min("whole").over(core) != F.max("whole").over(core))
+    return seen.select("doc", "at", F.least("n", F.lit(2)).alias("n"), (F.col("n") > 1).alias("marked"), (F.col("mixed") & (F.col("k") == 1)).alias("chosen")).where("marked or chosen")
+
+
 class SuffixIndex:
     """Levels of suffix arrays over the batches inserted so far, and the marks found (doc, at)."""
 
@@ -190,26 +206,49 @@ class SuffixIndex:
         """Add a batch (doc, text).  keep=False for a last batch: it is scanned, but no level is written for it."""
         ship(texts.sparkSession)
         self._merge()
+        self.texts = texts if self.texts is None else self.texts.unionByName(texts)
         entries = _entries(texts, self.length)
         cores = entries.groupBy("core").agg(F.count(F.lit(1)).alias("times"))
+        met = None
         if self.levels:
             cores = cut(cores)
-            met = self.levels[0][1]
-            for _, level in self.levels[1:]:
-                met = met.unionByName(level)
-            met = cut(met.join(cores.select("core"), "core"))
-            shared = cut(cores.where("times > 1").select("core").unionByName(met.select("core")).distinct())
-        else:
-            met, shared = None, cut(cores.where("times > 1").select("core"))
+            for _, level in self.levels:
+                met = level if met is None else met.unionByName(level)
+            met = cut(met.join(cores.select("core"), "core").select("doc", "at", "core", "whole", "n"))
+            cores = cores.unionByName(met.select("core", F.lit(1).alias("times"))).groupBy("core").agg(F.sum("times").alias("times"))
         if keep:
             self.levels.append((0, self._array(_combined(entries))))
-        entries = entries.join(shared, "core").select("doc", "at", "core", "whole", "n")
-        if met is not None:
-            entries = entries.unionByName(met.select("doc", "at", "core", "whole", "n"))
-        self.texts = texts if self.texts is None else self.texts.unionByName(texts)
-        self._scan(entries)
+        shared = cut(cores.where("times > 1"))
+        common = shared.where(F.col("times") > COMMON).select("core")
+        n_common = common.count()
+        if n_common > BROADCAST_ROWS:
+            self._scan_common(self._with(entries.join(shared.hint("shuffle_hash"), "core").select("doc", "at", "core", "whole", "n"), met))
+            return self
+        if n_common:
+            listed = np.sort(np.array([r["core"] for r in common.toLocalIterator()], np.int64))
+            their = None if met is None else met.join(F.broadcast(common), "core").select("doc", "at", "core", "whole", "n")
+            met = None if met is None else met.join(F.broadcast(common), "core", "left_anti")
+            self._scan_common(self._with(_entries(texts, self.length, listed, inside=True), their))
+            entries = _entries(texts, self.length, listed)
+        self._scan(self._with(entries.join(shared.hint("shuffle_hash"), "core").select("doc", "at", "core", "whole", "n"), met))
         return self
 
+    @staticmethod
+    def _with(entries: DataFrame, met: DataFrame | None) -> DataFrame:
+        return entries if met is None else entries.unionByName(met)
+
+    def _mark(self, found: DataFrame) -> None:
+        found = found.select("doc", "at")
+        self.marks = found if self.marks is None else self.marks.unionByName(found)
+
+    def _scan(self, entries: DataFrame) -> None:
+        """Judge blocks of entries that share a core, smaller ones in each round; one shuffle a round."""
+        for k in range(len(SPLITS)):
+            judged = cut(_judged(entries))
+            self._mark(judged.where("marked"))
+            if k + 1 < len(SPLITS):
+                entries = _split(self.texts, judged.where("chosen").select("doc", "at", "n"), SPLITS[k + 1], self.length).repartition("core")
+
     def _array(self, entries: DataFrame) -> DataFrame:
         # by range, so that the entries of one core may spread over tasks
         return cut(entries.repartitionByRange("core", "whole").sortWithinPartitions("core", "whole"))
@@ -219,19 +258,16 @@ class SuffixIndex:
             (rank, a), (_, b) = self.levels.pop(), self.levels.pop()
             self.levels.append((rank + 1, self._array(_combined(a.unionByName(b)))))
 
-    def _scan(self, entries: DataFrame) -> None:
-        """Judge blocks of entries that share a core, smaller ones in each round."""
+    def _scan_common(self, entries: DataFrame) -> None:
+        """The same for cores of any number of entries."""
         for k in range(len(SPLITS)):
             entries = cut(entries)
             pool = cut(_combined(entries))
-            repeated = pool.where("n > 1").select("core", "whole")
-            found = entries.join(repeated, ["core", "whole"]).select("doc", "at")
-            self.marks = found if self.marks is None else self.marks.unionByName(found)
-            if k + 1 == len(SPLITS):
-                return
-            mixed = pool.groupBy("core").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1").select("core")
-            chosen = cut(pool.join(mixed, "core").select("doc", "at", "n"))
-            entries = _split(self.texts, chosen, SPLITS[k + 1], self.length)
+            self._mark(entries.join(pool.where("n > 1").select("core", "whole"), ["core", "whole"]))
+            if k + 1 < len(SPLITS):
+                mixed = pool.groupBy("core").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1").select("core")
+                chosen = cut(pool.join(mixed, "core").select("doc", "at", F.least("n", F.lit(2)).alias("n")))
+                entries = _split(self.texts, chosen, SPLITS[k + 1], self.length)
 
     def spans(self) -> DataFrame:
         """(doc, spans): what to remove of each document that has any, as start, end, start, end, ... in bytes."""
@@ -251,7 +287,7 @@ class SuffixIndex:
                     out.append(np.column_stack([start[new], end[last]]).ravel())
                 yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array(out, pa.list_(pa.int64()))], ["doc", "spans"])
 
-        return self.marks.distinct().groupBy("doc").agg(F.collect_list("at").alias("at")).mapInArrow(merge, "doc bigint, spans array<bigint>")
+        return self.marks.groupBy("doc").agg(F.collect_set("at").alias("at")).mapInArrow(merge, "doc bigint, spans array<bigint>")
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, batches: int = 1) -> DataFrame:
