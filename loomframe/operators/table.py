@@ -11,13 +11,15 @@ from typing import Any
 
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import NumericType, StringType, StructType
+from pyspark.sql.types import LongType, NumericType, StringType, StructType
 
 from loomframe.functions.typing import parse_loose
 from loomframe.plans.filters import compile_filter
 from loomframe.plans.order import Order, positions, sort_columns
 
 POSITION = "__position"
+#: The reader's column of fields beyond the header; hidden until it is asked for.
+EXTRA = "__parsed_extra"
 AGGREGATES = ("count", "sum", "min", "max", "mean", "median", "stddev", "first", "last", "concat")
 JOINS = {"inner": "inner", "left": "left", "right": "right", "full": "full", "outer": "full", "cross": "cross"}
 
@@ -49,18 +51,24 @@ class Table:
             probe = spark.createDataFrame([Row(*[r.get(n) for n in names]) for r in rows], names).schema
         else:
             probe = spark.createDataFrame([], schema).schema
-        full = StructType([*probe.fields]).add("__o0", "bigint", False)
+        full = StructType([*probe.fields]).add("__o0", LongType(), False)
         data = [(*[r.get(f.name) for f in probe], k) for k, r in enumerate(rows)]
         return cls(spark.createDataFrame(data, full), [("__o0", True)])
 
     # what there is
     @property
     def columns(self) -> list[str]:
-        return [c for c in self._df.columns if not c.startswith("__") or c == "__parsed_extra"]
+        return [c for c in self._df.columns if not c.startswith("__") or (c == EXTRA and self.meta.get("extra"))]
 
     @property
     def hidden(self) -> list[str]:
-        return [c for c in self._df.columns if c.startswith("__") and c != "__parsed_extra"]
+        shown = set(self.columns)
+        return [c for c in self._df.columns if c not in shown]
+
+    def with_parsed_extra(self) -> Table:
+        """The table with the reader's `__parsed_extra` shown: the fields beyond the header, null where there are none."""
+        df = self._df if EXTRA in self._df.columns else self._df.withColumn(EXTRA, F.lit(None).cast("array<string>"))
+        return Table(df, self._order, self._errors, {**self.meta, "extra": True})
 
     def to_df(self) -> DataFrame:
         """The visible columns, in no promised order."""

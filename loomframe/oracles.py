@@ -50,7 +50,7 @@ ORACLES: dict[str, str] = {
     "filter_ne_nulls": "select c_custkey, nullif(c_mktsegment, 'BUILDING') as segment from customer where nullif(c_mktsegment, 'BUILDING') is distinct from 'MACHINERY'",
     "filter_number_prefix": "select p_partkey, p_size::varchar || ' cm' as size from part where p_size < 7",
     "filter_index": f"select o_orderkey from (select o_orderkey, {_ORDERED.format('o_orderkey')} as i from orders) where i % 7 = 3",
-    "map_expr": "select l_orderkey, l_linenumber, round(l_extendedprice * (1 - l_discount) * (1 + l_tax), 4) as charge from lineitem",
+    "map_expr": "select l_orderkey, l_linenumber, floor(l_extendedprice * (1 - l_discount) * (1 + l_tax) * 100 + 0.5) / 100 as charge from lineitem",
     "sort_top": "select o_orderkey, o_totalprice from orders order by o_totalprice desc, o_orderkey limit 25",
     "sort_positions": f"select o_orderkey, {_ORDERED.format('o_orderpriority desc, o_orderkey')} as place from orders",
     "sort_numeric_text": f"select p_partkey, {_ORDERED.format('p_retailprice::decimal(12,2), p_partkey')} as place from part",
@@ -59,12 +59,12 @@ ORACLES: dict[str, str] = {
     "at": "select o_orderkey, o_totalprice from orders order by o_orderkey limit 1 offset 17",
     "flagship": "select l_returnflag, round(sum(l_quantity), 2) as sum_qty, round(avg(l_extendedprice), 4) as avg_price, count(*) as n from lineitem where l_quantity > 10 group by l_returnflag",
     "group_count": _group("count(*)"),
-    "group_sum": _group("round(sum(o_totalprice), 4)"),
-    "group_min": _group("round(min(o_totalprice), 4)"),
-    "group_max": _group("round(max(o_totalprice), 4)"),
-    "group_mean": _group("round(avg(o_totalprice), 4)"),
-    "group_median": _group("round(median(o_totalprice), 4)"),
-    "group_stddev": _group("round(stddev_pop(o_totalprice), 4)"),
+    "group_sum": _group("round(sum(o_totalprice), 2)"),
+    "group_min": _group("round(min(o_totalprice), 2)"),
+    "group_max": _group("round(max(o_totalprice), 2)"),
+    "group_mean": _group("round(avg(o_totalprice), 2)"),
+    "group_median": _group("round(median(o_totalprice), 2)"),
+    "group_stddev": _group("round(stddev_pop(o_totalprice), 2)"),
     "group_first": f"select c_nationkey, first(name order by c_custkey) as value from ({_SEGMENTS}) group by c_nationkey",
     "group_last": f"select c_nationkey, last(name order by c_custkey) as value from ({_SEGMENTS}) group by c_nationkey",
     "group_concat": f"select c_nationkey, string_agg(coalesce(name, ''), ', ' order by c_custkey) as value from ({_SEGMENTS}) group by c_nationkey",

@@ -99,7 +99,7 @@ def filter_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def map_expr(spark: SparkSession, sf_dir: str) -> DataFrame:
-    price = F.round(col("l_extendedprice") * (1 - col("l_discount")) * (1 + col("l_tax")), 4)
+    price = F.floor(col("l_extendedprice") * (1 - col("l_discount")) * (1 + col("l_tax")) * 100 + 0.5) / 100
     return table(spark, sf_dir, "lineitem").map({"l_orderkey": col("l_orderkey"), "l_linenumber": col("l_linenumber"), "charge": price}).to_df()
 
 
@@ -149,7 +149,7 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _grouped(fn: str) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         out = table(spark, sf_dir, "orders").group_by("o_orderpriority").aggregate({"value": ("o_totalprice", fn)}).to_df()
-        return out.select("o_orderpriority", "value" if fn == "count" else F.round("value", 4).alias("value"))
+        return out.select("o_orderpriority", "value" if fn == "count" else F.round("value", 2).alias("value"))
 
     run.__name__ = f"group_{fn}"
     query(run)

@@ -19,7 +19,7 @@ from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
 
 from loomframe.functions import typing as ty
 from loomframe.functions.text import blank, trim
@@ -135,7 +135,7 @@ def _source(spark: SparkSession, source: Any, options: ReadOptions) -> str:
         for _ in range(options.skip_first_n_lines):
             at = text.find("\n")
             text = text[at + 1 :] if at >= 0 else ""
-        data, options.encoding = text.encode(), "UTF-8"
+        data, options.encoding, options.skip_first_n_lines = text.encode(), "UTF-8", 0
     return spool(spark, data)
 
 
@@ -146,7 +146,7 @@ def _head(spark: SparkSession, path: str, options: ReadOptions) -> tuple[str, li
     encoding = options.encoding or detect.detect_encoding(raw)
     _, mark = detect.detect_mark(raw)
     text = raw[mark:].decode(encoding, "replace")
-    for _ in range(options.skip_first_n_lines if path == first or options.splittable else 0):
+    for _ in range(options.skip_first_n_lines):
         text = text[text.find("\n") + 1 :]
     quote = "" if options.fast_mode else options.quote_char
     delimiter = detect.detect_delimiter(text, options.delimiters_to_guess, quote) if options.delimiter == "auto" else options.delimiter
@@ -160,7 +160,7 @@ def _head(spark: SparkSession, path: str, options: ReadOptions) -> tuple[str, li
 
 def _strict(spark: SparkSession, path: str, names: list[str], delimiter: str, encoding: str, o: ReadOptions) -> DataFrame:
     """One task a file: exact quote rules, raw line ends kept."""
-    schema = StructType([StructField(n, StringType()) for n in names]).add(_RAW, "string").add(_N, "int").add("__in_file", "bigint").add("__file", "string")
+    schema = StructType([StructField(n, StringType()) for n in names]).add(_RAW, StringType()).add(_N, IntegerType()).add("__in_file", LongType()).add("__file", StringType())
     quote, comment, header, width, keep_blank = o.quote_char, o.comment, o.has_header, len(names), o.skip_empty_rows is False
 
     def run(parts: Iterator[Any]) -> Iterator[Any]:
@@ -208,7 +208,7 @@ def _scan(spark: SparkSession, path: str, names: list[str], delimiter: str, enco
     """All-text scan; unquoted empty fields are null, quoted ones empty text."""
     schema = StructType([StructField(n, StringType()) for n in names])
     if raw:
-        schema = schema.add(_RAW, "string")
+        schema = schema.add(_RAW, StringType())
     quote = "" if o.fast_mode else o.quote_char
     settings = {
         "sep": delimiter, "quote": quote, "escape": quote if o.escape_char is None else o.escape_char, "comment": o.comment or "", "encoding": encoding, "nullValue": "\x00", "emptyValue": "",
@@ -216,7 +216,7 @@ def _scan(spark: SparkSession, path: str, names: list[str], delimiter: str, enco
     }
     if not quote:
         settings |= {"quote": "\x00", "escape": "\x00"}
-    if o.skip_first_n_lines and path == o._path and o.splittable:  # too large to copy: lines are parsed as records
+    if o.skip_first_n_lines:  # too large to copy: lines are parsed as records
         lines = spark.read.option("encoding", encoding).text(path)
         lines = scan_positions(lines, "__line").where(F.col("__line") >= o.skip_first_n_lines).where(F.trim("value") != "")
         if o.comment:
@@ -242,7 +242,6 @@ def read_csv(spark: SparkSession, source: Any, options: ReadOptions | None = Non
     base = {f.name: getattr(options, f.name) for f in fields(ReadOptions)} if options else {}
     o = ReadOptions(**(base | given))
     path = _source(spark, source, o)
-    o._path = path  # type: ignore[attr-defined]
     delimiter, names, encoding, linebreak = _head(spark, path, o)
     meta = {"delimiter": delimiter, "linebreak": linebreak, "encoding": encoding, "fields": names if o.has_header else None, "truncated": False, "aborted": False, "path": path, "files": files(spark, path)}
     if not names:
@@ -259,7 +258,9 @@ def read_csv(spark: SparkSession, source: Any, options: ReadOptions | None = Non
     else:
         df = _scan(spark, path, names, delimiter, encoding, o, raw)
         if raw:
-            df = df.withColumn(_N, F.when(F.col(_RAW).isNull(), len(names)).otherwise(F.size(_tokens(F.col(_RAW), delimiter, quote))))
+            # the source refuses queries that read the raw text alone, so a data column takes part
+            some = F.coalesce(F.length(col(names[0])) * 0, F.lit(0))
+            df = df.withColumn(_N, F.when(F.col(_RAW).isNull(), len(names)).otherwise(F.size(_tokens(F.col(_RAW), delimiter, quote)) + some))
         single = len(meta["files"]) == 1
         if single:
             df, order = df.withColumn("__seq0", F.monotonically_increasing_id()), [("__seq0", True)]
