@@ -140,22 +140,33 @@ def _source(spark: SparkSession, source: Any, options: ReadOptions) -> str:
 
 
 def _head(spark: SparkSession, path: str, options: ReadOptions) -> tuple[str, list[str], str, str]:
-    """(delimiter, names, encoding, line end) from the first file's first bytes."""
-    first = files(spark, path)[0][0]
-    raw = head_bytes(spark, first, HEAD)
-    encoding = options.encoding or detect.detect_encoding(raw)
-    _, mark = detect.detect_mark(raw)
-    text = raw[mark:].decode(encoding, "replace")
-    for _ in range(options.skip_first_n_lines):
-        text = text[text.find("\n") + 1 :]
+    """(delimiter, names, encoding, line end) from the first file that holds anything; reads on until one record is whole."""
+    found = files(spark, path)
+    first, size = next(((p, n) for p, n, _ in found if n), found[0][:2])
     quote = "" if options.fast_mode else options.quote_char
-    delimiter = detect.detect_delimiter(text, options.delimiters_to_guess, quote) if options.delimiter == "auto" else options.delimiter
-    for record in strict.records(text, delimiter, quote):
-        if record == [""] or (options.comment and record[0].startswith(options.comment)):
-            continue
-        names = header_names([strict.field(f, quote) for f in record], options) if options.has_header else [f"col{k}" for k in range(len(record))]
-        return delimiter, names, encoding, detect.detect_linebreak(text)
-    return delimiter, [], encoding, "\n"
+    most = HEAD
+    while True:
+        raw = head_bytes(spark, first, most)
+        encoding = options.encoding or detect.detect_encoding(raw)
+        _, mark = detect.detect_mark(raw)
+        text = raw[mark:].decode(encoding, "replace")
+        for _ in range(options.skip_first_n_lines):
+            text = text[text.find("\n") + 1 :]
+        delimiter = detect.detect_delimiter(text, options.delimiters_to_guess, quote) if options.delimiter == "auto" else options.delimiter
+        lead, whole = None, False
+        for record in strict.records(text, delimiter, quote):
+            if lead is not None:
+                whole = True
+                break
+            if record != [""] and not (options.comment and record[0].startswith(options.comment)):
+                lead = record
+        if whole or most >= size:
+            break
+        most *= 4
+    if lead is None:
+        return delimiter, [], encoding, "\n"
+    names = header_names([strict.field(f, quote) for f in lead], options) if options.has_header else [f"col{k}" for k in range(len(lead))]
+    return delimiter, names, encoding, detect.detect_linebreak(text)
 
 
 def _strict(spark: SparkSession, path: str, names: list[str], delimiter: str, encoding: str, o: ReadOptions) -> DataFrame:

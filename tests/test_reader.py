@@ -225,3 +225,10 @@ def test_sources(spark, read, tmp_path):
         read_csv(spark, str(tmp_path / "none.csv"))
     with pytest.raises(TypeError, match="unknown options"):
         read_csv(spark, b"a\n", quotechar="'")
+
+
+def test_long_first_record_and_empty_first_file(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("")
+    (tmp_path / "b.csv").write_text('"' + "x\n" * 90_000 + '",2,3\n4,5,6\n')
+    t = read_csv(spark, str(tmp_path), has_header=False)
+    assert t.columns == ["col0", "col1", "col2"] and [r[1] for r in rows(t)] == ["2", "5"]
