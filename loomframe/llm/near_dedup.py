@@ -1,16 +1,17 @@
 """MinHash near-dedup with HyperMinHash registers.
 
 Each document's shingles fall into REGISTERS buckets by hash; a bucket keeps its smallest hash as a
-register of 16 bits (leading zeros and ten mantissa bits).  Consecutive registers form bands:
+register of 16 bits (leading zeros and ten mantissa bits).  Each set is looked up by keys:
 
-* A set of few shingles uses just enough bands that sets within the threshold cannot differ in all of
-  them (a shingle touches one band only), so no link of small sets is missed.
-* Larger sets use BANDS bands of REGISTERS // BANDS registers: two sets of similarity 0.85 share none
-  with probability 7e-9, of 0.8 with 3e-6.
+* A set of few shingles is put in one order, rare shingles first, and its keys are the first ones, so
+  many that linked sets share one of them for certain: no link of small sets is missed.
+* Larger sets have BANDS bands of REGISTERS // BANDS consecutive registers as keys: two sets of
+  similarity 0.85 share none with probability 7e-9, of 0.8 with 3e-6.
+* Sets that may be linked with sets of both kinds have both kinds of keys.
 
-Documents with equal sets are one class.  Classes that share a band are first compared with the
+Documents with equal sets are one class.  Classes that share a key are first compared with the
 smallest class there (a star): a pair is kept by the registers' collision-corrected Jaccard estimate
-(with a margin of six standard errors), then confirmed on both full sets.  Classes that share a band
+(with a margin of six standard errors), then confirmed on both full sets.  Classes that share a key
 with another component after that are searched once more, exactly: each set is put in one order,
 rare shingles first, and pairs across components are those that share a shingle of both prefixes
 where positions still allow the threshold.  Texts that merely share a passage, however many, share
@@ -24,8 +25,7 @@ together, as the id is what is linked.  Empty tables give empty results.
 
 from __future__ import annotations
 
-import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -101,49 +101,49 @@ def estimate(left: np.ndarray, right: np.ndarray, n_left: np.ndarray, n_right: n
     return np.clip((equal - chance) / np.maximum(total - chance, 1), 0, 1)
 
 
-def _plan(n: int, num: int, den: int) -> list[tuple[int, int]]:
-    """(tag, bands) under which a set of n shingles is looked up.
+def _is_large(n: int, num: int, den: int) -> bool:
+    """Whether sets of n shingles are looked up by bands, unless the other set of a pair is not large."""
+    return n * (den - num) + num >= BANDS * num
 
-    Sizes of linked sets differ by den/num at most, so each size class also looks into the next one.
-    """
-    if n * (den - num) / num + 1 >= BANDS:
-        return [(0, BANDS)]
-    step = math.log(den / num)
-    c = int(math.log(n) / step + 1e-9)
-    out = []
-    for k in (c, c + 1):
-        # largest set that looks here, then the most shingles by which it differs from a linked set
-        top = math.exp((k + 1) * step)
-        bands = int(top * (den - num) / num + 1e-6) + 1
-        out.append((k + 1, bands) if bands < BANDS else (0, BANDS))
-    return list(dict.fromkeys(out))
-
-
-def band_keys(regs: np.ndarray, counts: np.ndarray, num: int, den: int) -> list[np.ndarray]:
-    """64-bit keys of each row's bands that hold any register."""
-    out: list[np.ndarray] = [np.zeros(0, np.uint64)] * len(regs)
-    plans: dict[tuple[int, int], list[int]] = {}
-    for i, n in enumerate(counts.tolist()):
-        for key in _plan(n, num, den) if n else []:
-            plans.setdefault(key, []).append(i)
+
+def _meets_small(n: int, num: int, den: int) -> bool:
+    """Whether sets of n shingles may be linked with sets that are not large."""
+    return n == 0 or not _is_large(-(-n * num // den), num, den)
+
+
+def _prefix(one: np.ndarray, common: np.ndarray, num: int, den: int) -> np.ndarray:
+    """The first shingles of a set, rare ones first: of two linked sets these share one at least."""
+    n = len(one)
+    order = np.lexsort((one, common[(one & np.uint64(COUNTERS - 1)).astype(np.int64)]))
+    return one[order[: n - -(-num * n // den) + 1]]
+
+
+def lookup_keys(sets: list[np.ndarray], regs: np.ndarray, common: np.ndarray, num: int, den: int) -> list[np.ndarray]:
+    """64-bit keys of each set: linked small sets share one for certain, larger ones nearly so."""
+    out: list[np.ndarray] = [np.zeros(0, np.uint64)] * len(sets)
     with np.errstate(over="ignore"):
-        for (tag, bands), rows in plans.items():
+        rows = [i for i, one in enumerate(sets) if _is_large(len(one), num, den)]
+        if rows:
             part = regs[rows]
-            # bands of nearly equal width that cover every register
-            edges = np.linspace(0, REGISTERS, bands + 1).astype(int)
+            # bands of equal width that cover every register
+            edges = np.linspace(0, REGISTERS, BANDS + 1).astype(int)
             salt = mix(np.arange(1, REGISTERS + 1, dtype=np.uint64))
             mixed = mix(part.astype(np.uint64) + salt)
             mixed[part == EMPTY] = 0
             sums = np.add.reduceat(mixed, edges[:-1], axis=1)
             full = np.add.reduceat((part != EMPTY).astype(np.int64), edges[:-1], axis=1) > 0
-            keys = mix(sums + mix(np.arange(bands, dtype=np.uint64) + np.uint64(tag * 1000 + 17)))
+            keys = mix(sums + mix(np.arange(BANDS, dtype=np.uint64) + np.uint64(17)))
             for i, k, ok in zip(rows, keys, full, strict=True):
-                out[i] = np.concatenate([out[i], k[ok]])
+                out[i] = k[ok]
+        for i, one in enumerate(sets):
+            if len(one) and _meets_small(len(one), num, den):
+                out[i] = np.concatenate([out[i], mix(_prefix(one, common, num, den) + np.uint64(1017))])
     return out
 
 
 def _sketches(docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
     """(doc_id, n_shingles, s1, s2, regs, keys): s1 and s2 tell sets apart."""
+    sent = docs.sparkSession.sparkContext.broadcast(_rarity(docs.where("doc_id is not null"), size, lambda n: _meets_small(n, num, den)))
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -151,7 +151,7 @@ def _sketches(docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
                 sets = shingle_sets(Texts(part.column("text")), size)
                 n = np.array([len(s) for s in sets], np.int64)
                 regs = registers(sets)
-                keys = band_keys(regs, n, num, den)
+                keys = lookup_keys(sets, regs, sent.value, num, den)
                 with np.errstate(over="ignore"):
                     s1 = np.array([s.sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64)
                     s2 = np.array([mix(s + np.uint64(77)).sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64)
@@ -214,8 +214,8 @@ def _confirm(pairs: DataFrame, docs: DataFrame, size: int, num: int, den: int) -
     return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(test, "a bigint, b bigint").distinct()
 
 
-def _rarity(texts: DataFrame, size: int) -> np.ndarray:
-    """How common shingles are, in COUNTERS hashed counters: a table of fixed size.
+def _rarity(texts: DataFrame, size: int, counted: Callable[[int], bool] = bool) -> np.ndarray:
+    """How common shingles are in sets of `counted` sizes, in COUNTERS hashed counters: a table of fixed size.
 
     Each task leaves out what it has seen once; the counts steer the order of search and nothing else.
     """
@@ -225,6 +225,8 @@ def _rarity(texts: DataFrame, size: int) -> np.ndarray:
         for batch in batches:
             for part in chunks(batch):
                 for one in shingle_sets(Texts(part.column("text")), size):
+                    if not counted(len(one)):
+                        continue
                     total[(one & np.uint64(COUNTERS - 1)).astype(np.int64)] += 1
         some = np.flatnonzero(total > 1)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["at", "n"])
@@ -249,9 +251,8 @@ def _across(placed: DataFrame, docs: DataFrame, size: int, num: int, den: int) -
                 for i, one in enumerate(shingle_sets(Texts(part.column("text")), size)):
                     n = len(one)
                     if n:
-                        order = np.lexsort((one, common[(one & np.uint64(COUNTERS - 1)).astype(np.int64)]))
-                        keep = n - -(-num * n // den) + 1
-                        tokens.append(one[order[:keep]])
+                        tokens.append(_prefix(one, common, num, den))
+                        keep = len(tokens[-1])
                         rows.append(np.full(keep, i))
                         places.append(np.arange(keep))
                         sizes.append(np.full(keep, n))
@@ -287,7 +288,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, num: int = 80, den: int = 10
     stars = members.where("rep != hub").select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct()
     linked = cut(_confirm(cut(_likely(stars, sketches.select("rep", "n_shingles", "regs"), num, den)), docs, size, num, den))
     found = components(linked)
-    # classes that share a band with another component
+    # classes that share a key with another component
     placed = members.join(found.select(F.col("node").alias("rep"), "component"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("component"))
     apart = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("key")
     left = cut(placed.join(apart, "key").select(F.col("rep").alias("doc_id"), "component").distinct())
