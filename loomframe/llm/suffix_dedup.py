@@ -103,7 +103,10 @@ def anchors(texts: Texts, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarr
         none = np.zeros(0, np.int64)
         return none, none, none, none
     place, low, high = (np.concatenate(x) for x in zip(*found, strict=True))
-    return np.searchsorted(texts.offsets, place - high, "right") - 1, place, low, high
+    row = np.searchsorted(texts.offsets, place - high, "right") - 1
+    # the last strings of a piece and the first of the next may name one place: that is one anchor
+    lead = np.flatnonzero(np.concatenate([[True], (place[1:] != place[:-1]) | (row[1:] != row[:-1])]))
+    return row[lead], place[lead], np.minimum.reduceat(low, lead), np.maximum.reduceat(high, lead)
 
 
 def _hashes(texts: Texts, row: np.ndarray, place: np.ndarray, first: np.ndarray, block: int, length: int) -> tuple[np.ndarray, np.ndarray]:
