@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import codecs
 import os
 import tempfile
 
@@ -65,10 +66,13 @@ def head_bytes(spark: SparkSession, path: str, most: int) -> bytes:
         stream.close()
 
 
+def _target(spark: SparkSession, name: str) -> str:
+    return f"{shared_folder(spark)}/loomframe-{os.getpid()}-{os.urandom(6).hex()}/{name}"
+
+
 def spool(spark: SparkSession, data: bytes, name: str = "spooled.csv") -> str:
     """Put bytes into the shared folder, where all executors can read them."""
-    folder = shared_folder(spark)
-    target = f"{folder}/loomframe-{os.getpid()}-{os.urandom(6).hex()}/{name}"
+    target = _target(spark, name)
     fs, where = _fs(spark, target)
     stream = fs.create(where, True)
     try:
@@ -77,3 +81,53 @@ def spool(spark: SparkSession, data: bytes, name: str = "spooled.csv") -> str:
     finally:
         stream.close()
     return target
+
+
+def _lines_end(stream, newline: bytes, lines: int, block: int = 1 << 16) -> tuple[int, int]:
+    """(bytes of the first `lines` lines of a stream, lines that it had too few)."""
+    width = len(newline)
+    done = 0
+    while lines:
+        data = bytes(stream.readNBytes(block))
+        at = 0
+        while lines and (found := data.find(newline, at)) >= 0:
+            if found % width:  # across two characters
+                at = found + 1
+                continue
+            at, lines = found + width, lines - 1
+        if not lines:
+            return done + at, 0
+        done += len(data)
+        if len(data) < block:
+            break
+    return done, lines
+
+
+def spool_body(spark: SparkSession, paths: list[str], mark: int, lines: int, encoding: str, name: str = "spooled.csv") -> str:
+    """Copy files, one after the other, to the shared folder as UTF-8 without a mark of `mark` bytes and the first `lines` lines.
+
+    The JVM streams the text, so inputs of any size take constant memory.
+    """
+    known = codecs.lookup(encoding).name
+    if known in ("utf-16", "utf-32"):
+        encoding = known = f"{known}-le"
+    newline = "\n".encode(known)
+    jvm = spark.sparkContext._jvm
+    target = _target(spark, name)
+    fs, where = _fs(spark, target)
+    writer = jvm.java.io.OutputStreamWriter(fs.create(where, True), "UTF-8")
+    try:
+        for path in paths:
+            source, at = _fs(spark, path)
+            stream = source.open(at)
+            try:
+                stream.seek(mark)
+                skipped, lines = _lines_end(stream, newline, lines)
+                stream.seek(mark + skipped)
+                jvm.java.io.InputStreamReader(stream, encoding).transferTo(writer)
+            finally:
+                stream.close()
+            mark = 0
+    finally:
+        writer.close()
+    return target

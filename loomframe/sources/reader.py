@@ -25,13 +25,13 @@ from loomframe.functions import typing as ty
 from loomframe.functions.text import blank, trim
 from loomframe.operators.table import Table, col
 from loomframe.plans.order import positions, scan_positions
-from loomframe.session import files, head_bytes, spool
+from loomframe.session import files, head_bytes, spool, spool_body
 from loomframe.sources import detect, strict
 from loomframe.sources.errors import no_errors
 
 _RAW, _POS, _EXTRA, _N = "__raw", "__pos", "__parsed_extra", "__n_fields"
 HEAD = 1 << 16
-#: Larger inputs are not copied by the driver to skip lines; they are read line by line instead.
+#: Of larger inputs the body behind skipped lines is not taken into the driver's Python; the JVM streams it to the copy.
 SPOOL_BYTES = 64 << 20
 
 
@@ -124,6 +124,14 @@ def _source(spark: SparkSession, source: Any, options: ReadOptions) -> str:
         size = sum(n for _, n, _ in files(spark, source))
         if size <= SPOOL_BYTES or options.before_first_chunk:
             data = b"".join(head_bytes(spark, p, n) for p, n, _ in files(spark, source))
+        else:
+            found = [(p, n) for p, n, _ in files(spark, source) if n]
+            head = head_bytes(spark, found[0][0], HEAD)
+            encoding = options.encoding or detect.detect_encoding(head)
+            _, mark = detect.detect_mark(head)
+            path = spool_body(spark, [p for p, _ in found], mark, options.skip_first_n_lines, encoding)
+            options.encoding, options.skip_first_n_lines = "UTF-8", 0
+            return path
     if data is None:
         return source
     if options.skip_first_n_lines or options.before_first_chunk:
@@ -150,8 +158,6 @@ def _head(spark: SparkSession, path: str, options: ReadOptions) -> tuple[str, li
         encoding = options.encoding or detect.detect_encoding(raw)
         _, mark = detect.detect_mark(raw)
         text = raw[mark:].decode(encoding, "replace")
-        for _ in range(options.skip_first_n_lines):
-            text = text[text.find("\n") + 1 :]
         delimiter = detect.detect_delimiter(text, options.delimiters_to_guess, quote) if options.delimiter == "auto" else options.delimiter
         lead, whole = None, False
         for record in strict.records(text, delimiter, quote):
@@ -227,24 +233,10 @@ def _scan(spark: SparkSession, path: str, names: list[str], delimiter: str, enco
     }
     if not quote:
         settings |= {"quote": "\x00", "escape": "\x00"}
-    if o.skip_first_n_lines:  # too large to copy: lines are parsed as records
-        lines = spark.read.option("encoding", encoding).text(path)
-        lines = scan_positions(lines, "__line").where(F.col("__line") >= o.skip_first_n_lines).where(F.trim("value") != "")
-        if o.comment:
-            lines = lines.where(~F.startswith("value", F.lit(o.comment)))
-        if o.has_header:
-            top = lines.agg(F.min("__line")).head()[0]
-            lines = lines.where(F.col("__line") > (top if top is not None else -1))
-        parsed = lines.select(F.from_csv("value", _ddl(schema), settings).alias("r"))
-        return parsed.select("r.*")
     multi = not (o.splittable or o.fast_mode)
     return spark.read.schema(schema).options(**settings, header=str(o.has_header).lower(), multiLine=str(multi).lower()).csv(path)
 
 
-def _ddl(schema: StructType) -> str:
-    return ", ".join(f"`{f.name.replace('`', '``')}` STRING" for f in schema.fields)
-
-
 def read_csv(spark: SparkSession, source: Any, options: ReadOptions | None = None, **given: Any) -> Table:
     """Read a path, pattern, URL, buffer, file object or iterable of chunks as a Table."""
     known = {f.name for f in fields(ReadOptions)}
