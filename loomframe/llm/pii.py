@@ -4,12 +4,13 @@ Patterns (`email`, `ip`, `card`, `phone`) are found exactly.  Generators propose
 spans: groups of digits with separators, addresses with spelled-out signs, account and social
 security formats.  Boosted trees score them by format and context; a threshold that reached
 PRECISION on held-back candidates selects, and of overlapping ones the likeliest stays.  These are
-added as `other` where they touch no pattern's span.  The trees learn from pattern matches (checked
-ones as positive; those that fail a check, and digit groups in texts without cues, as negative) in
-at most TRAIN_TEXTS texts.  Scanning covers every candidate of every text.
+added as `other` where they touch no pattern's span.  The trees learn from at most TRAIN_TEXTS texts
+and the written EXAMPLES: pattern matches, accounts and social security numbers that pass their
+checks, bracketed addresses, and telephone numbers behind their cue are positive; what fails a check,
+and other candidates in texts without cues, is negative; the rest teaches nothing.  Scanning covers
+every candidate of every text.
 
-Cases: null and empty texts have no spans.  Tables without both kinds of candidates train nothing and
-add nothing.  Rows are judged one by one; extra columns stay.
+Cases: null and empty texts have no spans.  Tables without candidates train nothing and add nothing.  Rows are judged one by one; extra columns stay.
 """
 
 from __future__ import annotations
@@ -36,7 +37,14 @@ _IP = re.compile(rb"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 _CARD = re.compile(rb"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(rb"\+[0-9][\x20().0-9-]+[0-9]")
 _GROUPS = re.compile(rb"[+(]?[0-9](?:[\x20().-]{0,2}[0-9]){5,24}")
-_SPELLED = re.compile(rb"[A-Za-z0-9._%+-]{1,64}\x20?[\[({]?\x20?(?:at|AT)\x20?[\])}]\x20?[A-Za-z0-9-]{1,64}(?:\x20?(?:[\[({](?:dot|DOT)[\])}]|\.)\x20?[A-Za-z0-9-]{1,24}){1,4}")
+_AT = re.compile(rb"(?i:at)\x20?[\])}]")
+_SPELLED = re.compile(rb"[A-Za-z0-9._%+-]{1,64}\x20?[\[({]?\x20?(?i:at)\x20?[\])}]\x20?[A-Za-z0-9-]{1,64}(?:\x20?(?:[\[({]\x20?(?i:dot)\x20?[\])}]|\.)\x20?[A-Za-z0-9-]{1,24}){1,4}")
+#: Most bytes of a spelled address before and after its `at`.
+_SPELLED_BEFORE, _SPELLED_AFTER = 67, 220
+_BRACKETED = re.compile(rb".*(?:\[\x20?(?i:at)\x20?\]|\(\x20?(?i:at)\x20?\)|\{\x20?(?i:at)\x20?\}).*[A-Za-z]{2}", re.S)
+_SSN = re.compile(rb"[0-9]{3}-[0-9]{2}-[0-9]{4}")
+_NATIONAL = re.compile(rb"\(?[2-9][0-9]{2}\)?[\x20.-]?[2-9][0-9]{2}[\x20.-][0-9]{4}")
+_PHONE_CUE = re.compile(rb"\b(?:phone|tel|telephone|call|mobile|fax)\b", re.I)
 _ACCOUNT = re.compile(rb"[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){3,7}(?:\x20?[A-Z0-9]{1,3})?")
 _CUES = re.compile(rb"phone|tel|call|mobile|fax|mail|contact|card|visa|credit|account|iban|ssn|passport|address", re.I)
 
@@ -56,6 +64,29 @@ _IN_CARD = _flags(range(48, 58), 32, 45)
 _IN_PHONE = _flags(range(48, 58), *b" ().-+")
 
 
+#: Written examples (public specimens): texts of a few of these teach the formats that a table may lack.
+EXAMPLES = [
+    f"{lead}{span}{tail}"
+    for span in (
+        "DE89 3704 0044 0532 0130 00", "GB82 WEST 1234 5698 7654 32", "NL91 ABNA 0417 1643 00", "BE68 5390 0754 7034", "DE89370400440532013000", "GB82WEST12345698765432", "FR1420041010050500013M02606",
+        "DE88 3704 0044 0532 0130 00", "GB28 WEST 1234 5698 7654 32", "NL19ABNA0417164300", "AB12 CDEF 1234 GHIJ 5678",
+        "078-05-1120", "219-09-9999", "123-45-6789", "000-12-3456", "666-12-3456", "987-65-4321", "123-00-4567",
+        "bob [at] site [dot] org", "bob [ at ] site [dot] org", "jane.doe(at)example.com", "info {At} example {dot} co {dot} uk", "a.b [AT] mail [DOT] example [DOT] net", "x-y ( at ) example . org",
+        "look at) this.thing", "(415) 555-0100", "415-555-0100", "2024-01-02 10:20:30", "1000000 2000000", "3.14159265",
+    )
+    for lead, tail in (("", ""), ("see ", "."), ("IBAN: ", " thanks"), ("write to me: ", ", or later"), ("phone ", ";"))
+]
+
+
+def _iban(span: bytes) -> bool:
+    plain = span.replace(b" ", b"")
+    return 15 <= len(plain) <= 34 and int("".join(str(int(chr(c), 36)) for c in plain[4:] + plain[:4])) % 97 == 1 if _ACCOUNT.fullmatch(span) else False
+
+
+def _ssn(span: bytes) -> bool:
+    return span[:3] not in (b"000", b"666") and span[:1] != b"9" and span[4:6] != b"00" and span[7:] != b"0000"
+
+
 def luhn(digits: bytes) -> bool:
     total = 0
     for k, d in enumerate(reversed(digits)):
@@ -124,21 +155,66 @@ class Scan:
         ok = self.digits[end] - self.digits[start] >= 6
         row = np.searchsorted(t.offsets, start, "right") - 1
         for r, s, e in zip(row[ok].tolist(), start[ok].tolist(), end[ok].tolist(), strict=True):
-            out += [(r, *m.span()) for m in _GROUPS.finditer(self.raw, s, e)]
-        for hint in (b"at]", b"at)", b"at}", b"AT]", b"AT)", b"AT}"):
-            at = self.raw.find(hint)
-            while at >= 0:
-                r = int(np.searchsorted(t.offsets, at, "right")) - 1
-                low, high = max(int(t.start[r]), at - 80), min(int(t.end[r]), at + 160)
-                out += [(r, *m.span()) for m in _SPELLED.finditer(self.raw, low, high)]
-                at = self.raw.find(hint, at + 3)
+            out += [(r, *m.span()) for p in (_GROUPS, _SSN) for m in p.finditer(self.raw, s, e)]
+        # an `at` with its bracket, wherever _SPELLED allows it
+        for hint in _AT.finditer(self.raw):
+            at = hint.start()
+            r = int(np.searchsorted(t.offsets, at, "right")) - 1
+            low, high = max(int(t.start[r]), at - _SPELLED_BEFORE), min(int(t.end[r]), at + _SPELLED_AFTER)
+            out += [(r, *m.span()) for m in _SPELLED.finditer(self.raw, low, high) if m.start() < at < m.end()]
         start, end, _ = words(t, _flags(*_ALNUM, 32))
         ok = self.digits[end] - self.digits[start] >= 10
         row = np.searchsorted(t.offsets, start, "right") - 1
         for r, s, e in zip(row[ok].tolist(), start[ok].tolist(), end[ok].tolist(), strict=True):
-            out += [(r, *m.span()) for m in _ACCOUNT.finditer(self.raw, s, e)]
+            for m in _ACCOUNT.finditer(self.raw, s, e):
+                # words in capitals may follow: the longest part that passes the check, or the whole
+                ends = [m.end(), *(k for k in range(m.end() - 1, m.start(), -1) if self.raw[k] == 32)]
+                out.append((r, m.start(), next((k for k in ends if _iban(self.raw[m.start() : k])), m.end())))
         return sorted(set(out))
 
+    def _checked(self, row: int, s: int, e: int) -> int | None:
+        """1 or 0 for a candidate whose format can be checked."""
+        low, high, span = int(self.texts.start[row]), int(self.texts.end[row]), self.raw[s:e]
+        before, after = self.raw[max(low, s - 32) : s], self.raw[e : min(high, e + 1)]
+        alone = not before[-1:].isalnum() and not after.isalnum()
+        if _ACCOUNT.fullmatch(span):
+            return int(alone and _iban(span))
+        if _SSN.fullmatch(span):
+            return int(alone and before[-1:] != b"-" != after and _ssn(span))
+        if _SPELLED.fullmatch(span):
+            return 1 if _BRACKETED.fullmatch(span) else None
+        if alone and _NATIONAL.fullmatch(span) and _PHONE_CUE.search(before):
+            return 1
+        return None
+
+    def labelled(self) -> dict[tuple[int, int, int], int]:
+        """What the trees may learn from: spans and 1 or 0."""
+        gold = {(r, s, e): 1 for r, _, s, e in self.spans}
+        found = {c: self._checked(*c) for c in self.candidates()}
+        good: dict[int, list[tuple[int, int]]] = {}
+        for r, s, e in [*gold, *(c for c, y in found.items() if y)]:
+            good.setdefault(r, []).append((s, e))
+        cues: dict[int, bool] = {}
+        out = {}
+        for c, y in {**found, **{(r, s, e): 0 for r, _, s, e in self.failed if not found.get((r, s, e))}}.items():
+            r, s, e = c
+            # a candidate that overlaps a good span is neither right nor wrong
+            if y or any(s < b and a < e for a, b in good.get(r, ())):
+                continue
+            if y is None:
+                if r not in cues:
+                    cues[r] = bool(_CUES.search(self.raw, int(self.texts.start[r]), int(self.texts.end[r])))
+                if cues[r]:
+                    continue
+            out[c] = 0
+        taken: dict[int, list[tuple[int, int]]] = {}
+        for r, s, e in gold:
+            taken.setdefault(r, []).append((s, e))
+        for c, y in found.items():
+            if y and all(c[2] <= a or b <= c[1] for a, b in taken.get(c[0], ())):
+                out[c] = 1
+        return {**out, **gold}
+
     def features(self, row: int, s: int, e: int) -> list[float]:
         t, span = self.texts, self.raw[s:e]
         digits = _digits(span)
@@ -150,7 +226,7 @@ class Scan:
             span.count(b"."), span.count(b"-"), span.count(b" "), span.count(b"("), b"@" in span, span[:1] == b"+",
             sum(65 <= c < 91 for c in span), sum(97 <= c < 123 for c in span), luhn(digits) if digits else 0, 13 <= len(digits) <= 19,
             all(len(g) <= 3 for g in groups), len(_CUES.findall(before)), before[-1:].isalnum(), after[:1].isalnum(), before[-2:-1] in (b":", b"="),
-            len(set(digits)), bool(re.search(rb"[\[({](?:at|AT)", span)),
+            len(set(digits)), bool(re.search(rb"[\[({]\x20?(?i:at)", span)), _iban(span), bool(_SSN.fullmatch(span)) and _ssn(span),
         ]
 
 
@@ -178,7 +254,7 @@ class PiiModel:
 
 
 def train(docs: DataFrame, n_texts: int = TRAIN_TEXTS) -> PiiModel | None:
-    """Fit on the texts of smallest hash that hold any candidate; one in four spans sets the threshold."""
+    """Fit on EXAMPLES and the texts of smallest hash that teach anything; one in four spans sets the threshold."""
     ship(docs.sparkSession)
 
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -186,13 +262,9 @@ def train(docs: DataFrame, n_texts: int = TRAIN_TEXTS) -> PiiModel | None:
             out = []
             for part in chunks(batch):
                 scan = Scan(Texts(part.column("text")))
-                gold = {(r, s, e): 1 for r, _, s, e in scan.spans}
-                every = {**{c: 0 for c in scan.candidates()}, **{(r, s, e): 0 for r, _, s, e in scan.failed}, **gold}
                 by_row: dict[int, list] = {}
-                for (r, s, e), y in sorted(every.items()):
-                    # a candidate that overlaps a checked span is neither right nor wrong
-                    if y or all(e <= b or c <= s for q, _, b, c in scan.spans if q == r):
-                        by_row.setdefault(r, []).append([*scan.features(r, s, e), y])
+                for (r, s, e), y in sorted(scan.labelled().items()):
+                    by_row.setdefault(r, []).append([*scan.features(r, s, e), y])
                 out += [(part.column("h")[r].as_py(), np.array(v[:TRAIN_SPANS], np.float32).tobytes()) for r, v in by_row.items()]
             out = sorted(out)[:n_texts]
             yield pa.RecordBatch.from_arrays([pa.array([h for h, _ in out], pa.int64()), pa.array([v for _, v in out], pa.binary())], ["h", "v"])
@@ -200,8 +272,9 @@ def train(docs: DataFrame, n_texts: int = TRAIN_TEXTS) -> PiiModel | None:
     rows = docs.select(F.xxhash64("doc_id", "text").alias("h"), "text").mapInArrow(sample, "h bigint, v binary").orderBy("h", "v").limit(n_texts).collect()
     if not rows:
         return None
-    n_f = len(Scan(Texts(pa.array(["1"]))).features(0, 0, 1)) + 1
-    data = np.concatenate([np.frombuffer(r["v"], np.float32).reshape(-1, n_f) for r in rows]).astype(np.float64)
+    written = Scan(Texts(pa.array(EXAMPLES)))
+    taught = np.array([[*written.features(*c), y] for c, y in sorted(written.labelled().items())], np.float32)
+    data = np.concatenate([*[np.frombuffer(r["v"], np.float32).reshape(-1, taught.shape[1]) for r in rows], taught]).astype(np.float64)
     x, y = data[:, :-1], data[:, -1]
     if len(np.unique(y)) < 2:
         return None
