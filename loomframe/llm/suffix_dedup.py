@@ -1,4 +1,4 @@
-"""Exact removal of repeated byte strings with a logarithmic family of suffix arrays.
+"""Exact removal of repeated byte strings by anchors, hashed blocks and a logarithmic family of levels.
 
 A byte is removed if a string of `length` bytes that covers it also starts anywhere else.  Only some
 suffixes are indexed: each string of `length` bytes names one *anchor*, the place of the smallest hash
@@ -10,9 +10,9 @@ SPAN / 2 is enough.  The strings that share an anchor form a block, which is jud
 * What is left is split into smaller blocks (SPLITS) down to single strings, which decides exactly
   (by two independent hashes of 64 bits).
 
-Each batch becomes a suffix array: its anchors ordered by core, then whole, equal ones as one entry
-with a count and one place.  `SuffixIndex` keeps such arrays as levels; a new batch is scanned against
-itself and every level by a merge on the core, and two levels of one rank are merged into one of the
+Each batch but the last becomes a level: its anchors ordered by core, then whole, equal ones as one
+entry with a count and one place.  `SuffixIndex` keeps these; a new batch is judged against itself and
+every level by a hash join on the core, and two levels of one rank are merged into one of the
 next rank before the next batch comes, so n batches keep log2(n) levels.  Cores of up to COMMON
 entries meet in one shuffle.  Entries of more common ones are kept out of it: they are combined before
 they are shuffled, and no task gathers the places of such a string.
