@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from collections.abc import Iterator
 from pathlib import Path
@@ -34,15 +35,75 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(sc.applicationId)
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write `df` to the cluster's checkpoint folder and go on from there; survives lost executors."""
-    sc = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share.  Only a session on one machine may do without a named one."""
+    sc = spark.sparkContext
+    named = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if not named:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        named = tempfile.mkdtemp(prefix="loomframe-")
     if not sc.getCheckpointDir():
-        named = sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoints-")
         sc.setCheckpointDir(named)
+    return named
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Write `df` to the cluster's checkpoint folder and go on from there; survives lost executors."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+class Scratch:
+    """Tables in a new folder under the shared one: what goes on from a table does not need what made it.
+
+    The shuffle files behind a table go once it is written, a table goes with drop(), and what is left
+    goes when the driver ends.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.folder = f"{shared_folder(spark)}/loomframe-{uuid.uuid4().hex}"
+        self.made = 0
+        self.fs, path = self._path(self.folder)
+        self.fs.mkdirs(path)
+        self.fs.deleteOnExit(path)
+
+    def _path(self, name: str):
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+        return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), path
+
+    def save(self, df: DataFrame, *by: str) -> DataFrame:
+        """`df`, read from files from now on, in folders by the values of `by`."""
+        self.made += 1
+        where = f"{self.folder}/{self.made}"
+        conf = self.spark.conf
+        before = conf.get(_CLEAN, "false")
+        conf.set(_CLEAN, "true")
+        try:
+            df.write.option("compression", "zstd").partitionBy(*by).parquet(where)
+        finally:
+            conf.set(_CLEAN, before)
+        out = self.spark.read.schema(df.schema).parquet(where)
+        out.scratch = where
+        return out
+
+    def drop(self, *tables: DataFrame) -> None:
+        for df in tables:
+            fs, path = self._path(df.scratch)
+            fs.delete(path, True)
+
+
+def plain_names(df: DataFrame, *given: str) -> tuple[DataFrame, list[str], list[str]]:
+    """`df` under names that clash with nothing (c0, c1, ...), the names it had, and the new names of `given`."""
+    had = df.columns
+    now = [f"c{k}" for k in range(len(had))]
+    return df.toDF(*now), had, [now[had.index(c)] for c in given]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

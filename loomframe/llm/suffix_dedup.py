@@ -1,59 +1,61 @@
-"""Exact removal of repeated byte strings by anchors, hashed blocks and a logarithmic family of levels.
+"""Exact removal of repeated byte strings by a logarithmic family of sparse suffix arrays.
 
 A byte is removed if a string of `length` bytes that covers it also starts anywhere else.  Only some
 suffixes are indexed: each string of `length` bytes names one *anchor*, the place of the smallest hash
 among the places of its first SPAN bytes, so equal strings name the same place and one suffix in about
-SPAN / 2 is enough.  The strings that share an anchor form a block, which is judged as a whole:
-
-* `core` hashes the bytes that all strings of the block share; a core found once has no match at all.
-* `whole` hashes all bytes around the anchor; a whole found twice means that every string has a match.
-* What is left is split into smaller blocks (SPLITS) down to single strings, which decides exactly
-  (by two independent hashes of 64 bits).
-
-Each batch but the last becomes a level: its anchors ordered by core, then whole, equal ones as one
-entry with a count and one place.  `SuffixIndex` keeps these; a new batch is judged against itself and
-every level by a hash join on the core, and two levels of one rank are merged into one of the
-next rank before the next batch comes, so n batches keep log2(n) levels.  Cores of up to COMMON
-entries meet in one shuffle.  Entries of more common ones are kept out of it: they are combined before
-they are shuffled, and no task gathers the places of such a string.
+SPAN / 2 is enough.  An entry of an array is such a suffix:
+
+* `suffix`: its first `length` - SPAN + 1 bytes, which all strings of the anchor share.  The array is in
+  the order of these bytes.
+* `whole`: a hash of all bytes around the anchor that its strings reach.  Entries of equal suffix and
+  whole are one entry with a count and one place, so copies of a passage are one entry.
+
+A batch gets an array (a table in suffix order) and is scanned against itself and the arrays of the
+family.  A whole found twice means that every string of the anchor has a match.  Suffixes found with
+different wholes match in part: these anchors wait until the strings are asked for.  Then the bytes
+around them are fetched from the texts, once for all batches, sorted in suffix order and in the order
+of what stands before the anchor, and compared with their neighbours: a string that reaches d bytes back
+has a match if another anchor agrees with it in d bytes before and `length` - d bytes after.  Suffixes
+with over COMMON kinds of surroundings are first cut into blocks of BLOCK strings and then single strings,
+which are counted by two hashes of 64 bits, so no task gathers such a group.  Before a batch goes into the
+family, arrays of one rank merge into one of the next rank, so n batches keep log2(n) arrays.
 
 Cases: null text is empty.  Texts shorter than `length` lose nothing.  Rows are documents, whatever
-their doc_id: of two equal rows both lose their bytes.  Matches never cross rows.  Extra columns stay.
-An empty table gives an empty result.
+their doc_id: of two equal rows both lose their bytes.  Matches never cross rows.  Extra columns stay, of
+any name but those of the results, which are replaced.  An empty table gives an empty result.  A text
+is held whole by one task.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import CHUNK_BYTES, Texts, _power, chunks, cut, mix, prefix_hash, range_hash, ship
+from .common import CHUNK_BYTES, Scratch, Texts, _power, chunks, mix, plain_names, prefix_hash, range_hash, ship
 
 LENGTH = 200
 #: Strings that one anchor can stand for; `length` must be larger.
 SPAN = 128
-#: Strings in a block, from one round to the next.
-SPLITS = (SPAN, 16, 1)
+#: Strings in a block of a suffix with many surroundings.
+BLOCK = 16
 #: Bits that hold a place inside a piece of a text while anchors are chosen.
 _PLACE = np.uint64(21)
-#: Entries of one core that a task may judge together.
+#: Surroundings of one suffix that a task may compare.
 COMMON = 1000
-#: Rows that may be sent to every task (24 MB at most); more are joined by a shuffle.
-BROADCAST_ROWS = 1_000_000
-_ENTRY = "doc bigint, at bigint, core bigint, whole bigint, n bigint"
+#: Surroundings compared at once, if no suffix has more.
+_AT_ONCE = 1 << 14
+#: Batches that a table is inserted in.
+BATCHES = 3
 
 _BYTE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407))
 
 
-def doc_ref(columns: list[str]) -> Column:
-    """A row's number in the index: rows with equal number are copies of each other."""
-    return F.xxhash64(*[F.col(f"`{c}`") for c in columns])
-
-
 def _second_prefix(data: np.ndarray) -> np.ndarray:
     """Prefix sums like prefix_hash(), with a number of 64 bits for each byte."""
     up, _ = _power(len(data) + 1)
@@ -129,152 +131,251 @@ def _hashes(texts: Texts, row: np.ndarray, place: np.ndarray, first: np.ndarray,
     return core, whole
 
 
-def _batch(doc: pa.Array, at: np.ndarray, core: np.ndarray, whole: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([doc, pa.array(at), pa.array(core.view(np.int64)), pa.array(whole.view(np.int64)), pa.array(n)], ["doc", "at", "core", "whole", "n"])
+def _binary(rows: np.ndarray) -> pa.Array:
+    """The rows of a byte matrix."""
+    n, width = rows.shape
+    offsets = np.arange(n + 1, dtype=np.int64) * width
+    return pa.Array.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(rows))]).cast(pa.binary())
+
+
+def _matrix(column: pa.Array, width: int) -> np.ndarray:
+    """The bytes of a column whose values are all `width` bytes long."""
+    if not len(column):
+        return np.zeros((0, width), np.uint8)
+    column = column.cast(pa.large_binary())
+    return np.frombuffer(column.buffers()[2], np.uint8)[column.offset * width :][: len(column) * width].reshape(-1, width)
 
 
 def _pack(place: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
     return place << 14 | high << 7 | low
 
 
-def _entries(texts: DataFrame, length: int, common: np.ndarray | None = None, inside: bool = False) -> DataFrame:
-    """An entry for each anchor of `texts` (doc, text); of those whose core is in `common` all or none, if given."""
-    sent = None if common is None else texts.sparkSession.sparkContext.broadcast(common)
+def _entries(texts: DataFrame, length: int) -> DataFrame:
+    """An entry for each anchor of `texts` (doc, text)."""
+    width = length - SPAN + 1
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in chunks(batch):
                 held = Texts(part.column("text"))
                 row, place, low, high = anchors(held, length)
-                core, whole = _hashes(held, row, place, np.zeros_like(place), SPAN, length)
-                if sent is not None:
-                    keep = np.isin(core.view(np.int64), sent.value) == inside
-                    row, place, low, high, core, whole = (x[keep] for x in (row, place, low, high, core, whole))
-                yield _batch(part.column("doc").take(pa.array(row)), _pack(place - held.start[row], low, high), core, whole, np.ones(len(row), np.int64))
+                if not len(row):
+                    continue
+                suffix = _binary(np.lib.stride_tricks.sliding_window_view(held.data, width)[place])
+                _, whole = _hashes(held, row, place, np.zeros_like(place), SPAN, length)
+                made = [suffix, pa.array(whole.view(np.int64)), part.column("doc").take(pa.array(row)), pa.array(_pack(place - held.start[row], low, high))]
+                yield pa.RecordBatch.from_arrays(made, ["suffix", "whole", "doc", "at"])
+
+    return texts.mapInArrow(make, "suffix binary, whole bigint, doc bigint, at bigint")
+
 
-    return texts.mapInArrow(make, _ENTRY)
+def _array(entries: DataFrame) -> DataFrame:
+    """Equal entries (suffix, whole, n, doc, at) as one, with the count (2 at most) and one of the places, in suffix order."""
+    one = entries.groupBy("suffix", "whole").agg(F.least(F.sum("n"), F.lit(2)).alias("n"), F.first("doc").alias("doc"), F.first("at").alias("at"))
+    return one.repartitionByRange("suffix", "whole").sortWithinPartitions("suffix", "whole")
 
 
-def _split(texts: DataFrame, chosen: DataFrame, block: int, length: int) -> DataFrame:
-    """Entries of the smaller blocks of `chosen` (doc, at, n)."""
-    lists = cut(chosen.groupBy("doc").agg(F.collect_list("at").alias("at"), F.collect_list("n").alias("n")))
-    few = (chosen.count() if lists.head(1) else 0) <= BROADCAST_ROWS
-    joined = texts.join(F.broadcast(lists) if few else lists.hint("shuffle_hash"), "doc").select("doc", "text", "at", "n")
+def _surroundings(texts: DataFrame, chosen: DataFrame, length: int) -> DataFrame:
+    """(suffix, doc, at, n, around) of the anchors `chosen` (doc, at, n): the SPAN - 1 bytes before and `length` after each, or zeros beyond the text."""
+    before, width = SPAN - 1, length - SPAN + 1
+    lists = chosen.groupBy("doc").agg(F.collect_list("at").alias("at"), F.collect_list("n").alias("n"))
+    joined = texts.join(lists.hint("shuffle_hash"), "doc").select("doc", "text", "at", "n")
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in chunks(batch):
-                held = Texts(part.column("text"))
-                column = part.column("at")
-                row = np.repeat(np.arange(part.num_rows), np.diff(column.offsets.to_numpy()))
-                at, n = column.flatten().to_numpy(), part.column("n").flatten().to_numpy()
-                low, high = at & 127, at >> 7 & 127
-                parts = high // block - low // block + 1
-                pick = np.repeat(np.arange(len(at)), parts)
-                first = (low[pick] // block + np.arange(len(pick)) - np.repeat(np.cumsum(parts) - parts, parts)) * block
-                row, place = row[pick], (at >> 14)[pick]
-                core, whole = _hashes(held, row, place + held.start[row], first, block, length)
-                spots = _pack(place, np.maximum(low[pick], first), np.minimum(high[pick], first + block - 1))
-                yield _batch(part.column("doc").take(pa.array(row)), spots, core, whole, n[pick])
+                held, lists = Texts(part.column("text")), part.column("at")
+                row = np.repeat(np.arange(part.num_rows), np.diff(lists.offsets.to_numpy()))
+                every, count = lists.flatten().to_numpy(), part.column("n").flatten()
+                for a in range(0, len(row), _AT_ONCE):
+                    r, at = row[a : a + _AT_ONCE], every[a : a + _AT_ONCE]
+                    spot = ((at >> 14) + held.start[r])[:, None] + np.arange(-before, length)
+                    inside = (spot >= held.start[r][:, None]) & (spot < held.end[r][:, None])
+                    around = np.where(inside, held.data[np.where(inside, spot, 0)], 0).astype(np.uint8)
+                    made = [_binary(around[:, before : before + width]), part.column("doc").take(pa.array(r)), pa.array(at), count.slice(a, _AT_ONCE), _binary(around)]
+                    yield pa.RecordBatch.from_arrays(made, ["suffix", "doc", "at", "n", "around"])
+
+    return joined.mapInArrow(make, "suffix binary, doc bigint, at bigint, n bigint, around binary")
+
+
+def _runs(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order of byte strings and how many bytes each shares with the one before it."""
+    order = np.argsort(np.ascontiguousarray(rows).view(f"V{rows.shape[1]}").ravel(), kind="stable")
+    sorted_rows = rows[order]
+    same = np.ones((len(rows), rows.shape[1] + 1), bool)
+    same[:, -1] = False
+    same[0, 0] = False
+    same[1:, :-1] = sorted_rows[1:] == sorted_rows[:-1]
+    return order, np.argmin(same, 1)
+
+
+def matched(around: np.ndarray, low: np.ndarray, high: np.ndarray, length: int) -> np.ndarray:
+    """[k, d]: whether string d of anchor k (from d bytes before it) has an equal one among the other anchors' strings."""
+    n, out = len(around), np.zeros((len(around), SPAN), bool)
+    if n < 2:
+        return out
+    after, shared_after = _runs(around[:, SPAN - 1 :])
+    before, shared_before = _runs(around[:, SPAN - 2 :: -1])
+    one, two = np.empty(n, np.int64), np.empty(n, np.int64)
+    for d in range(int(low.min()), int(high.max()) + 1):
+        has = np.flatnonzero((low <= d) & (d <= high))
+        one[after] = np.cumsum(shared_after < length - d)
+        two[before] = np.cumsum(shared_before < d)
+        key = one[has] * (n + 1) + two[has]
+        order = np.argsort(key)
+        equal = key[order][1:] == key[order][:-1]
+        out[has[order], d] = np.concatenate([[False], equal]) | np.concatenate([equal, [False]])
+    return out
 
-    return joined.mapInArrow(make, _ENTRY)
 
+def _stretches(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, first, last) of each run of set flags."""
+    edge = np.diff(np.pad(flags.astype(np.int8), ((0, 0), (1, 1))), axis=1)
+    row, first = np.nonzero(edge == 1)
+    return row, first, np.nonzero(edge == -1)[1] - 1
 
-def _combined(entries: DataFrame) -> DataFrame:
-    """One entry for each (core, whole), with its count and its smallest place."""
-    spot = F.min(F.struct("doc", "at"))
-    return entries.groupBy("core", "whole").agg(F.sum("n").alias("n"), spot.alias("spot")).select("core", "whole", "n", "spot.doc", "spot.at")
 
+def _compared(around: DataFrame, length: int) -> DataFrame:
+    """(doc, at) of the strings that have a match; rows of a suffix must lie together."""
 
-def _judged(entries: DataFrame) -> DataFrame:
-    """(doc, at, n, marked, chosen) of entries that are one or the other; rows are partitioned by core."""
-    equal, core = Window.partitionBy("core", "whole"), Window.partitionBy("core")
-    seen = entries.select("doc", "at", "core", "whole", F.row_number().over(equal.orderBy("doc", "at")).alias("k"), F.sum("n").over(equal).alias("n"))
-    seen = seen.withColumn("mixed", F.min("whole").over(core) != F.max("whole").over(core))
-    return seen.select("doc", "at", F.least("n", F.lit(2)).alias("n"), (F.col("n") > 1).alias("marked"), (F.col("mixed") & (F.col("k") == 1)).alias("chosen")).where("marked or chosen")
+    def scan(rows: pa.Table) -> pa.RecordBatch:
+        at, n = rows.column("at").to_numpy(), rows.column("n").to_numpy()
+        found = matched(_matrix(rows.column("around").combine_chunks(), SPAN - 1 + length), at & 127, at >> 7 & 127, length)
+        found[n > 1] = False  # marked as a whole
+        row, low, high = _stretches(found)
+        return pa.RecordBatch.from_arrays([rows.column("doc").combine_chunks().take(pa.array(row)), pa.array(_pack(at[row] >> 14, low, high))], ["doc", "at"])
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held.append(batch)
+            if sum(x.num_rows for x in held) < _AT_ONCE:
+                continue
+            rows = pa.Table.from_batches(held)
+            suffix = rows.column("suffix").combine_chunks()
+            same = pc.equal(suffix, suffix[len(suffix) - 1]).to_numpy(zero_copy_only=False)
+            end = len(suffix) - int(np.argmin(same[::-1])) if not same.all() else 0  # the last suffix may go on
+            if end:
+                yield scan(rows.slice(0, end))
+            held = rows.slice(end).combine_chunks().to_batches()
+        if held:
+            yield scan(pa.Table.from_batches(held))
+
+    return around.sortWithinPartitions("suffix").mapInArrow(make, "doc bigint, at bigint")
+
+
+def _blocks(around: DataFrame, block: int, length: int) -> DataFrame:
+    """(core, whole, doc, at, n) of the blocks of `block` strings of each anchor; `core` is a hash of what all of them share."""
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a in range(0, batch.num_rows, _AT_ONCE):
+                part = batch.slice(a, _AT_ONCE)
+                at, size = part.column("at").to_numpy(), SPAN - 1 + length
+                held = Texts(_binary(np.zeros((0, 1), np.uint8)))
+                held.data = _matrix(part.column("around"), size).ravel()
+                low, high = at & 127, at >> 7 & 127
+                parts = high // block - low // block + 1
+                row = np.repeat(np.arange(len(at)), parts)
+                first = (low[row] // block + np.arange(len(row)) - np.repeat(np.cumsum(parts) - parts, parts)) * block
+                place = row * size + SPAN - 1
+                # strings outside low to high belong to other anchors or to no text: what they cover is not part of a block
+                held.start, held.end = place - np.minimum(high[row], first + block - 1), place - np.maximum(low[row], first) + length
+                some = np.arange(len(row))
+                core, whole = _hashes(held, some, place, first, block, length)
+                spots = _pack(at[row] >> 14, np.maximum(low[row], first), np.minimum(high[row], first + block - 1))
+                made = [pa.array(core.view(np.int64)), pa.array(whole.view(np.int64)), part.column("doc").take(pa.array(row)), pa.array(spots), part.column("n").take(pa.array(row))]
+                yield pa.RecordBatch.from_arrays(made, ["core", "whole", "doc", "at", "n"])
+
+    return around.mapInArrow(make, "core bigint, whole bigint, doc bigint, at bigint, n bigint")
+
+
+def _one_each(blocks: DataFrame) -> DataFrame:
+    return blocks.groupBy("core", "whole").agg(F.sum("n").alias("n"), F.first("doc").alias("doc"), F.first("at").alias("at"))
 
 
 class SuffixIndex:
-    """Levels of suffix arrays over the batches inserted so far, and the marks found (doc, at)."""
+    """The family of arrays over the batches inserted so far, and what matches in them.
+
+    `spans` may be asked for after any batch.  Batches are (doc, text) with a number of its own for each row;
+    they must read the same whenever they are read.
+    """
 
     def __init__(self, length: int = LENGTH):
         if length <= SPAN:
             raise ValueError(f"length must be over {SPAN}")
         self.length = length
         self.levels: list[tuple[int, DataFrame]] = []  # (rank, array), ranks fall
-        self.texts: DataFrame | None = None
-        self.marks: DataFrame | None = None
+        self.texts: list[DataFrame] = []
+        self.marks: list[DataFrame] = []  # (doc, at)
+        self.partial: list[DataFrame] = []  # (doc, at, n) of anchors to compare
+        self.tables: Scratch | None = None
 
-    def insert(self, texts: DataFrame, keep: bool = True) -> SuffixIndex:
-        """Add a batch (doc, text).  keep=False for a last batch: it is scanned, but no level is written for it."""
+    def insert(self, texts: DataFrame) -> SuffixIndex:
+        """Scan a batch against itself and the arrays, and add its array to them."""
         ship(texts.sparkSession)
+        self.tables = tables = self.tables or Scratch(texts.sparkSession)
         self._merge()
-        self.texts = texts if self.texts is None else self.texts.unionByName(texts)
-        entries = _entries(texts, self.length)
-        cores = entries.groupBy("core").agg(F.count(F.lit(1)).alias("times"))
-        met = None
-        if self.levels:
-            cores = cut(cores)
-            for _, level in self.levels:
-                met = level if met is None else met.unionByName(level)
-            met = cut(met.join(cores.select("core"), "core").select("doc", "at", "core", "whole", "n"))
-            cores = cores.unionByName(met.select("core", F.lit(1).alias("times"))).groupBy("core").agg(F.sum("times").alias("times"))
-        if keep:
-            self.levels.append((0, self._array(_combined(entries))))
-        shared = cut(cores.where("times > 1"))
-        common = shared.where(F.col("times") > COMMON).select("core")
-        n_common = common.count()
-        if n_common > BROADCAST_ROWS:
-            self._scan_common(self._with(entries.join(shared.hint("shuffle_hash"), "core").select("doc", "at", "core", "whole", "n"), met))
-            return self
-        if n_common:
-            listed = np.sort(np.array([r["core"] for r in common.toLocalIterator()], np.int64))
-            their = None if met is None else met.join(F.broadcast(common), "core").select("doc", "at", "core", "whole", "n")
-            met = None if met is None else met.join(F.broadcast(common), "core", "left_anti")
-            self._scan_common(self._with(_entries(texts, self.length, listed, inside=True), their))
-            entries = _entries(texts, self.length, listed)
-        self._scan(self._with(entries.join(shared.hint("shuffle_hash"), "core").select("doc", "at", "core", "whole", "n"), met))
+        self.texts.append(texts)
+        entries = tables.save(_entries(texts, self.length))
+        array = tables.save(_array(entries.withColumn("n", F.lit(1))))
+        known = [level for _, level in self.levels]
+        rows = reduce(DataFrame.unionByName, [array.withColumn("new", F.lit(1)), *[x.withColumn("new", F.lit(0)) for x in known]])
+        equal = rows.groupBy("suffix", "whole").agg(F.sum("n").alias("n"), F.max("new").alias("new")).where("n > 1 and new = 1").select("suffix", "whole") if known else array.where("n > 1").select("suffix", "whole")
+        self.marks.append(tables.save(entries.select("suffix", "whole", "doc", "at").join(equal, ["suffix", "whole"], "left_semi").select("doc", "at")))
+        if known:  # places that were alone until now
+            alone = reduce(DataFrame.unionByName, known).where("n = 1").select("suffix", "whole", "doc", "at")
+            self.marks.append(tables.save(alone.join(array.select("suffix", "whole"), ["suffix", "whole"], "left_semi").select("doc", "at")))
+        tables.drop(entries)
+        mixed = rows.groupBy("suffix").agg(F.min("whole").alias("a"), F.max("whole").alias("b"), F.max("new").alias("new")).where("a != b and new = 1").select("suffix")
+        self.partial.append(tables.save(rows.select("suffix", "doc", "at", "n").join(mixed, "suffix", "left_semi").select("doc", "at", "n")))
+        self.levels.append((0, array))
         return self
 
-    @staticmethod
-    def _with(entries: DataFrame, met: DataFrame | None) -> DataFrame:
-        return entries if met is None else entries.unionByName(met)
-
-    def _mark(self, found: DataFrame) -> None:
-        found = found.select("doc", "at")
-        self.marks = found if self.marks is None else self.marks.unionByName(found)
-
-    def _scan(self, entries: DataFrame) -> None:
-        """Judge blocks of entries that share a core, smaller ones in each round; one shuffle a round."""
-        for k in range(len(SPLITS)):
-            judged = cut(_judged(entries))
-            self._mark(judged.where("marked"))
-            if k + 1 < len(SPLITS):
-                entries = _split(self.texts, judged.where("chosen").select("doc", "at", "n"), SPLITS[k + 1], self.length).repartition("core")
-
-    def _array(self, entries: DataFrame) -> DataFrame:
-        # by range, so that the entries of one core may spread over tasks
-        return cut(entries.repartitionByRange("core", "whole").sortWithinPartitions("core", "whole"))
-
     def _merge(self) -> None:
         while len(self.levels) > 1 and self.levels[-1][0] == self.levels[-2][0]:
             (rank, a), (_, b) = self.levels.pop(), self.levels.pop()
-            self.levels.append((rank + 1, self._array(_combined(a.unionByName(b)))))
-
-    def _scan_common(self, entries: DataFrame) -> None:
-        """The same for cores of any number of entries."""
-        for k in range(len(SPLITS)):
-            entries = cut(entries)
-            pool = cut(_combined(entries))
-            self._mark(entries.join(pool.where("n > 1").select("core", "whole"), ["core", "whole"]))
-            if k + 1 < len(SPLITS):
-                mixed = pool.groupBy("core").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1").select("core")
-                chosen = cut(pool.join(mixed, "core").select("doc", "at", F.least("n", F.lit(2)).alias("n")))
-                entries = _split(self.texts, chosen, SPLITS[k + 1], self.length)
+            self.levels.append((rank + 1, self.tables.save(_array(a.unionByName(b)))))
+            self.tables.drop(a, b)
+
+    def _resolve(self) -> None:
+        """Compare the anchors that match others in part."""
+        if not self.partial:
+            return
+        tables, length = self.tables, self.length
+        chosen = reduce(DataFrame.unionByName, self.partial)
+        if len(self.partial) > 1:
+            chosen = chosen.groupBy("doc", "at").agg(F.max("n").alias("n"))
+        around = tables.save(_surroundings(reduce(DataFrame.unionByName, self.texts), chosen, length))
+        tables.drop(*self.partial)
+        self.partial = []
+        common = tables.save(around.groupBy("suffix").agg(F.count(F.lit(1)).alias("kinds")).where(F.col("kinds") > COMMON).select("suffix"))
+        small = around.join(common, "suffix", "left_anti").select("suffix", "doc", "at", "n", "around")
+        self.marks.append(tables.save(_compared(small.repartition("suffix"), length)))
+        if common.head(1):
+            self._resolve_common(tables.save(around.join(common, "suffix", "left_semi").select("doc", "at", "n", "around")))
+        tables.drop(common, around)
+
+    def _resolve_common(self, around: DataFrame) -> None:
+        """The same for suffixes with many surroundings: blocks of strings, then single ones, are counted."""
+        tables, length = self.tables, self.length
+        blocks = tables.save(_blocks(around.select("doc", "at", "n", "around"), BLOCK, length))
+        kinds = tables.save(_one_each(blocks))
+        self.marks.append(tables.save(blocks.select("core", "whole", "doc", "at").join(kinds.where("n > 1").select("core", "whole"), ["core", "whole"], "left_semi").select("doc", "at")))
+        mixed = kinds.groupBy("core").agg(F.min("whole").alias("a"), F.max("whole").alias("b")).where("a != b").select("core")
+        inner = kinds.select("core", "doc", "at", "n").join(mixed, "core", "left_semi").select("doc", F.shiftright("at", 14).alias("place"), F.col("at").alias("part"), F.least("n", F.lit(2)).alias("n"))
+        singles = around.select("doc", F.shiftright("at", 14).alias("place"), "around").join(inner, ["doc", "place"]).select("doc", F.col("part").alias("at"), "n", "around")
+        strings = tables.save(_blocks(singles, 1, length))
+        twice = strings.groupBy("core", "whole").agg(F.sum("n").alias("n")).where("n > 1").select("core", "whole")
+        self.marks.append(tables.save(strings.select("core", "whole", "doc", "at").join(twice, ["core", "whole"], "left_semi").select("doc", "at")))
+        tables.drop(around, blocks, kinds, strings)
 
     def spans(self) -> DataFrame:
         """(doc, spans): what to remove of each document that has any, as start, end, start, end, ... in bytes."""
         length = self.length
+        self._resolve()
 
         def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -290,24 +391,27 @@ class SuffixIndex:
                     out.append(np.column_stack([start[new], end[last]]).ravel())
                 yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array(out, pa.list_(pa.int64()))], ["doc", "spans"])
 
-        return self.marks.groupBy("doc").agg(F.collect_set("at").alias("at")).mapInArrow(merge, "doc bigint, spans array<bigint>")
+        marks = reduce(DataFrame.unionByName, self.marks)
+        return marks.groupBy("doc").agg(F.collect_list("at").alias("at")).mapInArrow(merge, "doc bigint, spans array<bigint>")
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, batches: int = 1) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = LENGTH, batches: int = BATCHES) -> DataFrame:
     """`docs` plus kept (bytes that stay), n_bytes, n_removed and n_spans; rows go in as `batches` batches."""
-    names = [c for c in docs.columns if c not in ("kept", "n_bytes", "n_removed", "n_spans")]
-    key = [c for c in ("doc_id", "text") if c in names]
-    texts = docs.select(doc_ref(key).alias("doc"), "text")
+    results = ["kept", "n_bytes", "n_removed", "n_spans"]
+    plain, names, (text,) = plain_names(docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in results]), "text")
     index = SuffixIndex(length)
+    index.tables = tables = Scratch(docs.sparkSession)
+    # numbers of their own for the rows, equal or not, that stay the same whenever a task runs again
+    rows = tables.save(plain.withColumn("doc", F.monotonically_increasing_id()).withColumn("batch", F.pmod("doc", F.lit(batches))), "batch")
     for k in range(batches):
-        index.insert(texts.where(F.pmod("doc", F.lit(batches)) == k) if batches > 1 else texts, keep=k + 1 < batches)
-    spans = index.spans().withColumnRenamed("doc", "__doc").withColumnRenamed("spans", "__spans")
-    joined = docs.select(*[F.col(f"`{c}`") for c in names]).withColumn("__ref", doc_ref(key)).join(spans.hint("shuffle_hash"), F.col("__ref") == F.col("__doc"), "left")
+        index.insert(rows.where(F.col("batch") == k).select("doc", F.col(text).alias("text")))
+    columns = plain.columns
+    joined = rows.drop("batch").join(index.spans().hint("shuffle_hash"), "doc", "left").drop("doc")
 
     def take(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts:
-            for part in chunks(batch):
-                held, column = Texts(part.column("text")), part.column("__spans")
+            for part in chunks(batch, text):
+                held, column = Texts(part.column(text)), part.column("spans")
                 kept, removed, n_spans = [], [], []
                 for i in range(part.num_rows):
                     data = held.data[held.start[i] : held.end[i]]
@@ -316,8 +420,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, batches: int = 1) -> D
                     kept.append(b"".join(data[a:b].tobytes() for a, b in zip(edges[0::2].tolist(), edges[1::2].tolist(), strict=True)))
                     removed.append(int((cuts[1::2] - cuts[0::2]).sum())), n_spans.append(len(cuts) // 2)
                 made = [pa.array(kept, pa.binary()), pa.array(held.end - held.start), pa.array(removed, pa.int64()), pa.array(n_spans, pa.int64())]
-                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in names], *made], [*names, "kept", "n_bytes", "n_removed", "n_spans"])
+                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in columns], *made], [*columns, *results])
 
-    slim = joined.select(*[F.col(f"`{c}`") for c in names], "__spans")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in slim.schema if f.name != "__spans")
-    return slim.mapInArrow(take, schema + ", kept binary, n_bytes bigint, n_removed bigint, n_spans bigint")
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in plain.schema)
+    return joined.mapInArrow(take, schema + ", kept binary, n_bytes bigint, n_removed bigint, n_spans bigint").toDF(*names, *results)
