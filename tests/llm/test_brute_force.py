@@ -6,6 +6,7 @@ import re
 import numpy as np
 import pytest
 
+from loomframe.llm import embedding_dedup
 from loomframe.llm.decontaminate import find_leaks
 from loomframe.llm.embedding_dedup import bucket_keys, near_vectors, plan
 
@@ -78,3 +79,25 @@ def test_leaks_are_those_of_brute_force(make, spark):
         want[k] = (len(w), len(hit), sorted(found))
     got = find_leaks(make(docs), spark.createDataFrame(items, "item_id bigint, text string")).collect()
     assert {r.doc_id: (r.n_words, r.n_hit, sorted(r["items"])) for r in got} == want
+
+
+@pytest.mark.parametrize("rows,dim,threshold", [(3000, 64, 0.9), (3000, 16, 0.95), (10**5, 32, 0.99)])
+def test_other_thresholds_and_dimensions_miss_no_pair(rows, dim, threshold):
+    hashes, tables = plan(rows, dim, threshold)
+    left, right = (bucket_keys(x, hashes, tables) for x in pairs_at(np.random.default_rng(rows + dim), 1500, dim, threshold))
+    found = np.zeros(len(left), bool)
+    for k in range(left.shape[1]):
+        found |= (left[:, k : k + 1] == right).any(1)
+    assert found.mean() >= 0.999
+
+
+def test_vectors_of_any_size_and_shape(spark, monkeypatch):
+    monkeypatch.setattr(embedding_dedup, "BLOCK", 2)
+    rows = [
+        (1, [1e-200, 0.0], "a", 1), (2, [1e200, 0.0], "a", 1), (3, [2e200, 1e190], "a", 1), (4, [1.0, 0.0], "a", 1), (5, [5e-324, 0.0], "a", 1),
+        (6, [0.0, 1e300], "a", 1), (7, [0.0, 2.0], "a", 1), (8, [0.0, 2.0], "b", 1), (9, [0.0, 2.0], None, 1), (10, None, "a", 1), (11, [0.0, 0.0], "a", 1),
+        (12, [float("nan"), 1.0], "a", 1), (13, [float("inf"), 1.0], "a", 1), (14, [1.0, None], "a", 1), (15, [], "a", 1), (16, [1.0, 0.0, 0.0], "a", 1), (None, [1.0, 0.0], "a", 1),
+    ]
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in near_vectors(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label string, rep int")).collect()}
+    want = {k: (0, k, True) for k, *_ in rows if k is not None} | {k: (4, 1, k == 1) for k in range(1, 6)} | {6: (1, 6, True), 7: (1, 6, False), None: (0, None, True)}
+    assert got == want
