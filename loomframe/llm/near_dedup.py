@@ -14,17 +14,20 @@ smallest class there (a star): a pair is kept by the registers' collision-correc
 (with a margin of six standard errors), then confirmed on both full sets.  Classes that share a key
 with another component after that are searched once more, exactly: each set is put in one order,
 rare shingles first, and pairs across components are those that share a shingle of both prefixes
-where positions still allow the threshold.  Texts that merely share a passage, however many, share
-no such place, so groups of them cost no pairs.  These too are confirmed on both full sets.
+where positions and sizes still allow the threshold.  Texts that merely share a passage or a template,
+however many, share no such place, so groups of them cost no pairs.  These too are confirmed on both
+full sets.
 
 Cases: null texts and texts without words have no set: they link with nothing and are components of
 their own.  Fewer words than a shingle give one shingle.  Rows without a doc_id are left out.  Rows
 that share a doc_id and a set are one row's worth; rows that share a doc_id with other sets belong
-together, as the id is what is linked.  Empty tables give empty results.
+together, as the id is what is linked.  A text is held whole by one task, however long.  Columns but
+doc_id and text are not read and not returned.  Empty tables give empty results.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -41,6 +44,11 @@ MANTISSA_BITS = 10
 EMPTY = 0xFFFF
 #: Counters that tell frequent shingles from rare ones; only the order of search depends on them.
 COUNTERS = 1 << 20
+#: Sets with one token beyond which they are told apart by size as well, in classes that grow by SIZE_STEP.
+COMMON = 100
+SIZE_STEP = 1.02
+#: Pairs that one copy of a set serves.
+TOGETHER = 256
 #: Ids that may be sent to every task (16 MB at most); more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 
@@ -191,7 +199,10 @@ def _texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def _confirm(pairs: DataFrame, docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
-    """Those of `pairs` whose full sets are similar enough."""
+    """Those of `pairs` whose full sets are similar enough.
+
+    The set of `a` is sent once for each TOGETHER of its pairs, and read before theirs.
+    """
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -200,18 +211,28 @@ def _confirm(pairs: DataFrame, docs: DataFrame, size: int, num: int, den: int) -
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([s.tobytes() for s in made], pa.binary())], ["id", "set"])
 
     def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first, x = None, np.zeros(0, np.uint64)
         for batch in batches:
             ok = []
-            for a, b in zip(batch.column("set_a"), batch.column("set_b"), strict=True):
-                x, y = (np.frombuffer(s.as_buffer(), np.uint64) for s in (a, b))
+            for a, b, part in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), batch.column("set"), strict=True):
+                y = np.frombuffer(part.as_buffer(), np.uint64)
+                if b is None:
+                    first, x = a, y.copy()
+                    ok.append(False)
+                    continue
+                if a != first:
+                    raise RuntimeError(f"the set of {a} is missing")
                 same = len(np.intersect1d(x, y, assume_unique=True))
                 ok.append(den * same >= num * (len(x) + len(y) - same))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     wanted = cut(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
     full = cut(_texts_of(docs, wanted).mapInArrow(sets, "id bigint, set binary"))
-    side = lambda x: full.select(F.col("id").alias(x), F.col("set").alias(f"set_{x}"))
-    return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(test, "a bigint, b bigint").distinct()
+    many = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / TOGETHER).alias("parts"))
+    dealt = pairs.join(many, "a").select("a", F.pmod(F.xxhash64("b"), F.col("parts")).alias("part"), "b")
+    heads = many.select("a", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)).alias("part"), F.lit(None).cast("bigint").alias("b"))
+    rows = heads.join(full, F.col("a") == F.col("id")).unionByName(dealt.join(full, F.col("b") == F.col("id"))).select("a", "part", "b", "set")
+    return rows.repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first()).select("a", "b", "set").mapInArrow(test, "a bigint, b bigint").distinct()
 
 
 def _rarity(texts: DataFrame, size: int, counted: Callable[[int], bool] = bool) -> np.ndarray:
@@ -262,12 +283,21 @@ def _across(placed: DataFrame, docs: DataFrame, size: int, num: int, den: int) -
                     yield pa.RecordBatch.from_arrays([part.column("doc_id").take(at), part.column("component").take(at), pa.array(np.concatenate(tokens).view(np.int64)), *flat], ["doc_id", "component", "token", "place", "n"])
 
     found = cut(texts.mapInArrow(prefixes, "doc_id bigint, component bigint, token bigint, place bigint, n bigint"))
-    mixed = found.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("token")
-    found = cut(found.join(mixed, "token"))
-    side = lambda x: found.select("token", *[F.col(c).alias(f"{c}_{x}") for c in ("doc_id", "component", "place", "n")])
+    shared = found.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("times")).where("low != high").select("token", "times")
+    found = found.join(shared, "token")
+    # of a common token, by classes of the partner's size that the place still allows
+    own = f"cast(floor(ln(n) / {math.log(SIZE_STEP)}) as int)"
+    least, most = f"cast(floor(ln(ceil(n * {num} / {den})) / {math.log(SIZE_STEP)}) as int)", f"cast(floor(ln(greatest(1, floor((n - place) * {num + den} / {num}) - n)) / {math.log(SIZE_STEP)}) as int)"
+    keyed = found.withColumn("own", F.expr(f"if(times > {COMMON}, {own}, 0)")).withColumn("other", F.explode(F.expr(f"if(times > {COMMON}, if({least} <= {most}, sequence({least}, {most}), array()), array(0))")))
+    keyed = keyed.select("doc_id", "component", "token", "place", "n", "own", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
+    key = ["token", "low", "high"]
+    open_ = keyed.groupBy(*key).agg(F.min("component").alias("c1"), F.max("component").alias("c2"), F.min("own").alias("o1"), F.max("own").alias("o2")).where("c1 != c2 and o1 = low and o2 = high").select(*key)
+    keyed = cut(keyed.join(open_, key, "left_semi"))
+    side = lambda x: keyed.select(*key, *[F.col(c).alias(f"{c}_{x}") for c in ("doc_id", "component", "place", "n", "own")])
     bound = f"{num + den} * least(n_a - place_a, n_b - place_b) >= {num} * (n_a + n_b)"
-    both = side("a").join(side("b"), "token")
-    return both.where(f"doc_id_a < doc_id_b and component_a != component_b and {bound}").select(F.col("doc_id_a").alias("a"), F.col("doc_id_b").alias("b")).distinct()
+    both = side("a").join(side("b"), key)
+    # the smaller size class comes first, so that each pair is met once
+    return both.where(f"own_a = low and own_b = high and (low != high or doc_id_a < doc_id_b) and component_a != component_b and {bound}").select(F.least("doc_id_a", "doc_id_b").alias("a"), F.greatest("doc_id_a", "doc_id_b").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100) -> DataFrame:
