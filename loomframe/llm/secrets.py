@@ -1,14 +1,21 @@
 """Secret scan: fixed patterns, and a conditional random field over tokens that adds further spans.
 
 Patterns (`assign`, `access`, `hex`) are found exactly.  The field tags the tokens of each line as
-outside, begin or inside of a secret, from the token's shape, its neighbours and features of the
-whole text, and is decoded by Viterbi; its spans that touch no pattern's span are added as `crf`.
-It learns from pattern hits in at most TRAIN_DOCS texts (TRAIN_LINES lines of each), every second
-time with the neighbour features blanked, so that shape alone can carry a tag.  Scanning covers all
-tokens of all texts: lines are passed over only where a bound proves that "outside" wins everywhere.
-
-Cases: null and empty texts have no spans.  A table without any pattern hit trains nothing and adds
-nothing.  Rows are judged one by one; extra columns stay.
+outside, begin or inside of a secret, from the token's shape, its neighbours (cue words before it, the
+signs around it, whether the tokens beside it are joined to it) and features of the whole text, and is
+decoded by Viterbi; its spans that touch no pattern's span are added as `crf`.
+
+It learns from pattern hits in at most TRAIN_DOCS texts, those of smallest hash (of each the first
+TRAIN_LINES lines with a hit and QUIET_LINES without, of at most TRAIN_TOKENS tokens, as a line holds
+one thing), every second time with the neighbour features blanked, so that shape alone can carry a tag;
+and from written lines (`written_lines`) with forms that no pattern knows: other cue words, bearer and
+web tokens, passwords in addresses, and their harmless likes.  These bounds hold for learning alone.
+Scanning covers all tokens of all texts: lines are passed over only where a bound proves that "outside"
+wins everywhere.
+
+Cases: null and empty texts have no spans.  A table without any pattern hit learns from the written
+lines.  Rows are judged one by one, each text whole in one task; extra columns of any name stay, but for
+`secrets`, which is replaced.
 """
 
 from __future__ import annotations
@@ -22,12 +29,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import crf
-from .common import LOWER, Texts, chunks, prefix_hash, range_hash, ship, words
+from .common import LOWER, Texts, chunks, plain_names, prefix_hash, range_hash, ship, words
 
 KINDS = ("assign", "access", "hex", "crf")
 TRAIN_DOCS = 400
-TRAIN_LINES = 10
-MAX_TRAIN_TOKENS = 120
+TRAIN_LINES = 6
+QUIET_LINES = 4
+TRAIN_TOKENS = 120
+#: Written lines of each form.
+WRITTEN = 12
 
 _ASSIGN = re.compile(rb"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I)
 _ACCESS = re.compile(rb"AKIA[A-Z0-9]+")
@@ -40,6 +50,8 @@ _TOKEN[[*range(48, 58), *range(65, 91), *range(97, 123), 95]] = True
 _TOKEN[128:] = True
 _KIND = np.zeros(256, np.int8)  # of a byte: 1 small, 2 capital, 3 digit, 4 underscore, 5 beyond ASCII
 _KIND[97:123], _KIND[65:91], _KIND[48:58], _KIND[95], _KIND[128:] = 1, 2, 3, 4, 5
+#: A text with a pattern hit, for Java's matcher.
+_HIT = r"(?i:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9+/_.=-]{6}|AKIA[A-Z0-9]{16}|[0-9a-f]{24}"
 _CUES = [b"password", b"passwd", b"secret", b"token", b"key", b"apikey", b"api_key", b"api", b"auth", b"bearer", b"credential", b"credentials", b"private", b"pwd", b"access"]
 
 
@@ -177,40 +189,82 @@ class Scan:
         return keep
 
 
-def train(docs: DataFrame, n_docs: int = TRAIN_DOCS, n_lines: int = TRAIN_LINES) -> crf.ChainModel | None:
-    """Fit on texts with pattern hits: those of smallest hash, `n_docs` at most."""
+def written_lines(n: int = WRITTEN, seed: int = 7) -> tuple[list[str], list[tuple[int, int, int]]]:
+    """Lines to learn from and their secrets as (line, start, end); forms in braces are filled by chance."""
+    rng = np.random.default_rng(seed)
+    small, big, digits = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    some = lambda letters, low, high: "".join(rng.choice(list(letters), rng.integers(low, high)))
+    word = lambda: "".join(str(rng.choice(list("bcdfglmnprstv"))) + str(rng.choice(list("aeiou"))) for _ in range(rng.integers(1, 4))) + str(rng.choice(["", "n", "s", "r"]))
+    parts = {
+        "mixed": lambda: some(small + big + digits, 16, 44), "short": lambda: some(small + big + digits + "_", 8, 16), "lower": lambda: some(small + digits, 14, 36),
+        "web": lambda: f"ey{some(small + big + digits, 14, 30)}.ey{some(small + big + digits, 20, 60)}.{some(small + big + digits + '_', 30, 44)}", "upper": lambda: some(big + digits, 16, 32),
+        "prefixed": lambda: f"{some(small, 2, 5)}_{some(small + big + digits, 24, 40)}", "phrase": lambda: f"{word().title()}{rng.integers(10, 9999)}{rng.choice(list('_+=-'))}{word().upper()}{rng.integers(10, 99)}",
+        "word": word, "name": lambda: f"{word()}_{word()}", "number": lambda: str(rng.integers(1, 10**6)), "camel": lambda: word() + word().title() + word().title() + word().title(),
+        "uuid": lambda: "-".join(some(digits + "abcdef", k, k + 1) for k in (8, 4, 4, 4, 12)), "path": lambda: "/".join(word() for _ in range(rng.integers(3, 7))), "date": lambda: f"20{rng.integers(10, 30)}-{rng.integers(1, 12):02d}-{rng.integers(1, 28):02d}T{rng.integers(10, 23)}:{rng.integers(10, 59)}:00Z",
+    }
+    cue = lambda: str(rng.choice(["pwd", "credential", "credentials", "private_key", "auth", "access_key", "PRIVATE_KEY", "Pwd", "auth_key", "access"]))
+    forms = [
+        "CUE: <mixed>", "CUE=<prefixed>", 'CUE = "<short>"', "'CUE': '<phrase>',", "{word}_CUE = <mixed>", "export CUE=<upper>", "CUE: <phrase>", "CUE=<web>", "CUE: <lower>",
+        "Authorization: Bearer <web>", "Authorization: Bearer <mixed>", "curl -H 'Authorization: Bearer <prefixed>' https://{word}.{word}/{path}", "{word}: <web>", "{word} {word} <web> {word}", "<prefixed>",
+        "postgres://{word}:<mixed>@{word}.{word}:{number}/{word}", "{word} {word} use <prefixed> {word} {word}", 'auth = "<lower>"',
+        "{word} {word} {word} {word} {word} {word} {word}.", "{word} {word}, the CUE of {word} {word} was {word}.", "{name} = {number}", "{word}: {word} {word}", "commit {word} at {date}", "id={uuid}", "https://{word}.{word}/{path}?{word}={number}",
+        "{camel}({name}, {camel})", "{word} CUE: {word} {word} {word}", "import {camel} from '{path}'", "{word} {number}, {number} {word}; {word}-{word}", "{date} {uuid} {camel} {word}", "{word}/{path}/{camel}.{word}", "CUE: required", "the {word} CUE is {word}", "{number}{word} {word}{number} {camel}{number}",
+    ]
+    lines, secrets = [], []
+    for k in range(n * len(forms)):
+        form, line, at = forms[k % len(forms)].replace("CUE", cue()), "", 0
+        for m in re.finditer(r"<(\w+)>|\{(\w+)\}", form):
+            line += form[at : m.start()]
+            made = parts[m[1] or m[2]]()
+            if m[1]:
+                secrets.append((k, len(line), len(line) + len(made)))
+            line, at = line + made, m.end()
+        lines.append(line + form[at:])
+    return lines, secrets
+
+
+def _written() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    lines, secrets = written_lines()
+    scan = Scan(Texts(pa.array(lines)))
+    start = scan.texts.start.tolist()
+    scan.values += [(start[k] + s, start[k] + e) for k, s, e in secrets]
+    scan.tokens()
+    return scan.x, scan.gold(), np.diff(scan.first)
+
+
+def train(docs: DataFrame, n_docs: int = TRAIN_DOCS, n_lines: int = TRAIN_LINES) -> crf.ChainModel:
+    """Fit on the written lines and on texts with pattern hits: those of smallest hash, `n_docs` at most."""
     ship(docs.sparkSession)
+    hashed = docs.where(F.col("text").rlike(_HIT)).select(F.xxhash64("doc_id", "text").alias("h"), "text")
+    chosen = [r["h"] for r in hashed.select("h").orderBy("h").limit(n_docs).collect()]
 
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[tuple] = []
             for part in chunks(batch):
                 scan = Scan(Texts(part.column("text")))
-                rows = {r for r, *_ in scan.spans}
-                if not rows:
-                    continue
                 scan.tokens()
-                tags = scan.gold()
-                for r in rows:
-                    lines = [(int(a), int(b)) for a, b in zip(scan.first[:-1], scan.first[1:], strict=True) if scan.row[a] == r and b - a <= MAX_TRAIN_TOKENS]
-                    with_hit = [(a, b) for a, b in lines if tags[a:b].any()][: n_lines - 4]
-                    rest = [(a, b) for a, b in lines if not tags[a:b].any()][:4]
-                    at = with_hit + rest
-                    if with_hit:
+                tags, out = scan.gold(), []
+                lines = np.column_stack([scan.first[:-1], scan.first[1:]])[np.diff(scan.first) <= TRAIN_TOKENS]
+                hit = np.add.reduceat(tags > 0, scan.first[:-1])[np.diff(scan.first) <= TRAIN_TOKENS] > 0 if len(tags) else np.zeros(0, bool)
+                for r in range(part.num_rows):
+                    mine = scan.row[lines[:, 0]] == r
+                    at = [*lines[mine & hit][:n_lines].tolist(), *lines[mine & ~hit][:QUIET_LINES].tolist()] if (mine & hit).any() else []
+                    if at:
                         x = np.concatenate([scan.x[a:b] for a, b in at]).astype(np.float16)
                         out.append((part.column("h")[r].as_py(), x.tobytes(), np.concatenate([tags[a:b] for a, b in at]).tobytes(), np.array([b - a for a, b in at], np.int32).tobytes()))
-            # more than n_docs rows of one batch can never be needed
-            out = sorted(out)[:n_docs]
-            yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), *[pa.array([o[k] for o in out], pa.binary()) for k in (1, 2, 3)]], ["h", "x", "tags", "sizes"])
-
-    hits = docs.select(F.xxhash64("doc_id", "text").alias("h"), "text").mapInArrow(sample, "h bigint, x binary, tags binary, sizes binary")
-    rows = hits.orderBy("h", "x").limit(n_docs).collect()
-    if not rows:
-        return None
-    n_f = len(np.frombuffer(rows[0]["x"], np.float16)) // int(np.frombuffer(rows[0]["sizes"], np.int32).sum())
-    x = np.concatenate([np.frombuffer(r["x"], np.float16).reshape(-1, n_f) for r in rows]).astype(np.float32)
-    tags = np.concatenate([np.frombuffer(r["tags"], np.int8) for r in rows])
-    first = np.concatenate([[0], np.cumsum(np.concatenate([np.frombuffer(r["sizes"], np.int32) for r in rows]))])
+                yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), *[pa.array([o[k] for o in out], pa.binary()) for k in (1, 2, 3)]], ["h", "x", "tags", "sizes"])
+
+    rows = []
+    if chosen:  # equal rows teach once
+        hits = hashed.where(F.col("h") <= chosen[-1]).dropDuplicates(["h"]).mapInArrow(sample, "h bigint, x binary, tags binary, sizes binary")
+        rows = sorted(hits.collect(), key=lambda r: (r["h"], r["x"]))
+    x, tags, sizes = _written()
+    x, tags, sizes = [x], [tags], [sizes]
+    for r in rows:
+        x.append(np.frombuffer(r["x"], np.float16).reshape(-1, x[0].shape[1]).astype(np.float32))
+        tags.append(np.frombuffer(r["tags"], np.int8)), sizes.append(np.frombuffer(r["sizes"], np.int32))
+    x, tags = np.concatenate(x), np.concatenate(tags)
+    first = np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
     blank = x.copy()
     blank[:, 22:26] = 0  # cues near the token and in the text
     return crf.fit(np.concatenate([x, blank]), np.concatenate([tags, tags]), np.concatenate([first, first[1:] + first[-1]]), 3, forbidden=[(0, 2)])
@@ -220,14 +274,13 @@ def scan_secrets(docs: DataFrame, model: crf.ChainModel | None) -> DataFrame:
     """`docs` plus secrets: array of (kind, start, end) in code points, by start, then kind as listed."""
     ship(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    names = [c for c in docs.columns if c != "secrets"]
-    docs = docs.select(*[f"`{c}`" for c in names])
+    docs, names, (text,) = plain_names(docs.select(*[F.col(f"`{c}`") for c in docs.columns if c != "secrets"]), "text")
     kind = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in chunks(batch):
-                scan = Scan(Texts(part.column("text")))
+            for part in chunks(batch, text):
+                scan = Scan(Texts(part.column(text)))
                 spans = scan.spans + (scan.found(sent.value) if sent.value is not None else [])
                 out: list[list[dict]] = [[] for _ in range(part.num_rows)]
                 if spans:
@@ -237,4 +290,4 @@ def scan_secrets(docs: DataFrame, model: crf.ChainModel | None) -> DataFrame:
                         out[row].append({"kind": KINDS[k], "start": int(chars[s] - base), "end": int(chars[e] - base)})
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(out, pa.list_(kind))], [*part.schema.names, "secrets"])
 
-    return docs.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", secrets array<struct<kind: string, start: bigint, end: bigint>>")
+    return docs.mapInArrow(run, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in docs.schema) + ", secrets array<struct<kind: string, start: bigint, end: bigint>>").toDF(*names, "secrets")
