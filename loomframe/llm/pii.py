@@ -2,19 +2,26 @@
 
 Patterns (`email`, `ip`, `card`, `phone`) are found exactly.  Generators propose further, overlapping
 spans: groups of digits with separators, addresses with spelled-out signs, account and social
-security formats.  Boosted trees score them by format and context; a threshold that reached
-PRECISION on held-back candidates selects, and of overlapping ones the likeliest stays.  These are
-added as `other` where they touch no pattern's span.  The trees learn from at most TRAIN_TEXTS texts
-and the written EXAMPLES: pattern matches, accounts and social security numbers that pass their
-checks, bracketed addresses, and telephone numbers behind their cue are positive; what fails a check,
-and other candidates in texts without cues, is negative; the rest teaches nothing.  Scanning covers
-every candidate of every text.
-
-Cases: null and empty texts have no spans.  Tables without candidates train nothing and add nothing.  Rows are judged one by one; extra columns stay.
+security formats.  Boosted trees score them by format and context; their scores are calibrated by a
+logistic curve on held-back candidates (one in four), and the least calibrated probability that
+reached PRECISION there, one half at least, is the threshold; of overlapping ones the likeliest stays.
+These are added as `other` where they touch no pattern's span.
+
+The trees learn from at most TRAIN_TEXTS texts, those of smallest hash that can hold candidates (of each
+the first TRAIN_SPANS candidates that teach anything), and the written EXAMPLES: pattern matches, accounts
+and social security numbers that pass their checks, bracketed addresses, and telephone numbers behind
+their cue are positive; what fails a check, and other candidates in texts without cues, is negative; the
+rest teaches nothing.  These bounds hold for learning alone.  Scanning covers every candidate of every
+text.
+
+Cases: null and empty texts have no spans.  Tables without candidates learn from the examples.  Rows
+are judged one by one, each text whole in one task; extra columns of any name stay, but for `pii`, which
+is replaced.
 """
 
 from __future__ import annotations
 
+import bisect
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -25,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import boosting
-from .common import Texts, chunks, ship, words
+from .common import Texts, chunks, plain_names, ship, words
 
 KINDS = ("email", "ip", "card", "phone", "other")
 TRAIN_TEXTS = 1500
@@ -49,6 +56,37 @@ _ACCOUNT = re.compile(rb"[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){3,7}(?:\x20?[A-Z0-
 _CUES = re.compile(rb"phone|tel|call|mobile|fax|mail|contact|card|visa|credit|account|iban|ssn|passport|address", re.I)
 
 
+#: A text that can hold candidates, for Java's matcher.
+_MAY_TEACH = r"[A-Za-z0-9._%+-]@[A-Za-z0-9-]+\.|[0-9](?:[\x20().-]{0,2}[0-9]){5}|(?i:at)\x20?[\])}]|[A-Z]{2}[0-9]{2}\x20?[A-Z0-9]{4}"
+
+
+class Overlaps:
+    """Spans of one row: do any touch another span?  Takes logarithmic time, however they overlap each other."""
+
+    def __init__(self, spans: list[tuple[int, int]]):
+        spans = sorted(spans)
+        self.starts = [s for s, _ in spans]
+        self.ends = np.maximum.accumulate([e for _, e in spans]).tolist() if spans else []
+        self.more: list[tuple[int, int]] = []  # added later; these do not overlap
+
+    def touch(self, s: int, e: int) -> bool:
+        k = bisect.bisect_left(self.starts, e) - 1
+        if k >= 0 and self.ends[k] > s:
+            return True
+        k = bisect.bisect_left(self.more, (e, -1)) - 1
+        return k >= 0 and self.more[k][1] > s
+
+    def add(self, s: int, e: int) -> None:
+        bisect.insort(self.more, (s, e))
+
+
+def _by_row(spans: list[tuple[int, int, int]]) -> dict[int, Overlaps]:
+    rows: dict[int, list[tuple[int, int]]] = {}
+    for r, s, e in spans:
+        rows.setdefault(r, []).append((s, e))
+    return {r: Overlaps(x) for r, x in rows.items()}
+
+
 def _flags(*members: int | range) -> np.ndarray:
     out = np.zeros(256, bool)
     for m in members:
@@ -191,15 +229,13 @@ class Scan:
         """What the trees may learn from: spans and 1 or 0."""
         gold = {(r, s, e): 1 for r, _, s, e in self.spans}
         found = {c: self._checked(*c) for c in self.candidates()}
-        good: dict[int, list[tuple[int, int]]] = {}
-        for r, s, e in [*gold, *(c for c, y in found.items() if y)]:
-            good.setdefault(r, []).append((s, e))
+        good = _by_row([*gold, *(c for c, y in found.items() if y)])
         cues: dict[int, bool] = {}
         out = {}
         for c, y in {**found, **{(r, s, e): 0 for r, _, s, e in self.failed if not found.get((r, s, e))}}.items():
             r, s, e = c
             # a candidate that overlaps a good span is neither right nor wrong
-            if y or any(s < b and a < e for a, b in good.get(r, ())):
+            if y or (r in good and good[r].touch(s, e)):
                 continue
             if y is None:
                 if r not in cues:
@@ -207,11 +243,9 @@ class Scan:
                 if cues[r]:
                     continue
             out[c] = 0
-        taken: dict[int, list[tuple[int, int]]] = {}
-        for r, s, e in gold:
-            taken.setdefault(r, []).append((s, e))
+        taken = _by_row(list(gold))
         for c, y in found.items():
-            if y and all(c[2] <= a or b <= c[1] for a, b in taken.get(c[0], ())):
+            if y and not (c[0] in taken and taken[c[0]].touch(*c[1:])):
                 out[c] = 1
         return {**out, **gold}
 
@@ -233,72 +267,100 @@ class Scan:
 @dataclass
 class PiiModel:
     trees: boosting.BoostedTrees
+    slope: float
+    shift: float
     threshold: float
 
+    def probability(self, x: np.ndarray) -> np.ndarray:
+        """Calibrated."""
+        return _curve(_score(self.trees, x), self.slope, self.shift)
+
     def added(self, scan: Scan) -> list[tuple[int, int, int, int]]:
         """Selected candidates that touch no pattern's span; of overlapping ones the likeliest."""
         found = scan.candidates()
         if not found:
             return []
-        p = self.trees.probability(np.array([scan.features(*c) for c in found], np.float64))
-        taken: dict[int, list[tuple[int, int]]] = {}
-        for r, _, s, e in scan.spans:
-            taken.setdefault(r, []).append((s, e))
+        p = self.probability(np.array([scan.features(*c) for c in found], np.float64))
+        taken = _by_row([(r, s, e) for r, _, s, e in scan.spans])
         out = []
         for k in sorted(np.flatnonzero(p >= self.threshold).tolist(), key=lambda k: (-p[k], found[k])):
             r, s, e = found[k]
-            if all(e <= a or b <= s for a, b in taken.get(r, ())):
-                taken.setdefault(r, []).append((s, e))
+            mine = taken.setdefault(r, Overlaps([]))
+            if not mine.touch(s, e):
+                mine.add(s, e)
                 out.append((r, 4, s, e))
         return out
 
 
-def train(docs: DataFrame, n_texts: int = TRAIN_TEXTS) -> PiiModel | None:
-    """Fit on EXAMPLES and the texts of smallest hash that teach anything; one in four spans sets the threshold."""
+def _score(trees: boosting.BoostedTrees, x: np.ndarray) -> np.ndarray:
+    p = np.clip(trees.probability(x), 1e-9, 1 - 1e-9)
+    return np.log(p / (1 - p))
+
+
+def _curve(score: np.ndarray, slope: float, shift: float) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(slope * score + shift, -40, 40)))
+
+
+def calibrate(score: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+    """(slope, shift) of the logistic curve that fits held-back labels best; labels are drawn in a little, as for few rows."""
+    n1, n0 = float((y > 0).sum()), float((y <= 0).sum())
+    goal = np.where(y > 0, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
+    slope, shift = 1.0, 0.0
+    for _ in range(50):
+        p = _curve(score, slope, shift)
+        g = np.array([((p - goal) * score).sum() + 1e-3 * (slope - 1), (p - goal).sum() + 1e-3 * shift])
+        w = np.maximum(p * (1 - p), 1e-9)
+        h = np.array([[(w * score * score).sum() + 1e-3, (w * score).sum()], [(w * score).sum(), w.sum() + 1e-3]])
+        step = np.clip(np.linalg.solve(h, g), -1, 1)
+        slope, shift = slope - step[0], shift - step[1]
+    return max(float(slope), 1e-3), float(shift)
+
+
+def train(docs: DataFrame, n_texts: int = TRAIN_TEXTS, n_spans: int = TRAIN_SPANS) -> PiiModel | None:
+    """Fit on EXAMPLES and the texts of smallest hash that can hold candidates; one in four spans sets curve and threshold."""
     ship(docs.sparkSession)
+    hashed = docs.where(F.col("text").rlike(_MAY_TEACH)).select(F.xxhash64("doc_id", "text").alias("h"), "text")
+    chosen = [r["h"] for r in hashed.select("h").orderBy("h").limit(n_texts).collect()]
 
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
             for part in chunks(batch):
                 scan = Scan(Texts(part.column("text")))
                 by_row: dict[int, list] = {}
                 for (r, s, e), y in sorted(scan.labelled().items()):
-                    by_row.setdefault(r, []).append([*scan.features(r, s, e), y])
-                out += [(part.column("h")[r].as_py(), np.array(v[:TRAIN_SPANS], np.float32).tobytes()) for r, v in by_row.items()]
-            out = sorted(out)[:n_texts]
-            yield pa.RecordBatch.from_arrays([pa.array([h for h, _ in out], pa.int64()), pa.array([v for _, v in out], pa.binary())], ["h", "v"])
+                    if len(mine := by_row.setdefault(r, [])) < n_spans:
+                        mine.append([*scan.features(r, s, e), y])
+                yield pa.RecordBatch.from_arrays([pa.array([part.column("h")[r].as_py() for r in by_row], pa.int64()), pa.array([np.array(v, np.float32).tobytes() for v in by_row.values()], pa.binary())], ["h", "v"])
 
-    rows = docs.select(F.xxhash64("doc_id", "text").alias("h"), "text").mapInArrow(sample, "h bigint, v binary").orderBy("h", "v").limit(n_texts).collect()
-    if not rows:
-        return None
+    rows = []
+    if chosen:  # equal rows teach once
+        rows = sorted(hashed.where(F.col("h") <= chosen[-1]).dropDuplicates(["h"]).mapInArrow(sample, "h bigint, v binary").collect())
     written = Scan(Texts(pa.array(EXAMPLES)))
     taught = np.array([[*written.features(*c), y] for c, y in sorted(written.labelled().items())], np.float32)
     data = np.concatenate([*[np.frombuffer(r["v"], np.float32).reshape(-1, taught.shape[1]) for r in rows], taught]).astype(np.float64)
     x, y = data[:, :-1], data[:, -1]
-    if len(np.unique(y)) < 2:
-        return None
     held = np.arange(len(y)) % 4 == 0
     trees = boosting.fit(x[~held], y[~held])
-    p, t = trees.probability(x[held]), y[held]
+    score, t = _score(trees, x[held]), y[held]
+    slope, shift = calibrate(score, t)
+    p = _curve(score, slope, shift)
     order = np.argsort(-p)
     good = np.cumsum(t[order]) / np.arange(1, len(order) + 1) >= PRECISION
     last = np.flatnonzero(good)
-    return PiiModel(trees, max(0.5, float(p[order][last[-1]])) if len(last) else 2.0)
+    return PiiModel(trees, slope, shift, max(0.5, float(p[order][last[-1]])) if len(last) else 2.0)
 
 
 def scan_pii(docs: DataFrame, model: PiiModel | None) -> DataFrame:
     """`docs` plus pii: array of (kind, start, end) in code points, by kind as listed, then start."""
     ship(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    names = [c for c in docs.columns if c != "pii"]
-    docs = docs.select(*[f"`{c}`" for c in names])
+    docs, names, (text,) = plain_names(docs.select(*[F.col(f"`{c}`") for c in docs.columns if c != "pii"]), "text")
     kind = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in chunks(batch):
-                scan = Scan(Texts(part.column("text")))
+            for part in chunks(batch, text):
+                scan = Scan(Texts(part.column(text)))
                 spans = scan.spans + (sent.value.added(scan) if sent.value is not None else [])
                 out: list[list[dict]] = [[] for _ in range(part.num_rows)]
                 if spans:
@@ -308,4 +370,4 @@ def scan_pii(docs: DataFrame, model: PiiModel | None) -> DataFrame:
                         out[row].append({"kind": KINDS[k], "start": int(chars[s] - base), "end": int(chars[e] - base)})
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(out, pa.list_(kind))], [*part.schema.names, "pii"])
 
-    return docs.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", pii array<struct<kind: string, start: bigint, end: bigint>>")
+    return docs.mapInArrow(run, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in docs.schema) + ", pii array<struct<kind: string, start: bigint, end: bigint>>").toDF(*names, "pii")
