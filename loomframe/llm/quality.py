@@ -3,15 +3,24 @@
 Every line is good or bad.  A line's potentials use its own features (shares of symbols, capitals,
 digits, repeated words, ...) and those of the lines before and after it; transitions tie neighbours.
 Forward-backward gives each line's marginal, and the document's score is their mean weighted by
-line length, then calibrated on the training documents.
+line length, then calibrated.
 
-Training reads at most TRAIN_DOCS labelled documents, the TRAIN_LINES first lines of each (scoring
-reads every line of every document); each line carries its document's label.
+Labels mark documents, not lines, so line tags are latent: training starts from tags equal to the
+document's label, and from step WARM on takes the marginals of the field to which each line's label
+adds EVIDENCE log odds (the E step; gradient steps are the M step).  A good document can so have bad
+lines, and transitions learn where tags change.
+
+Training reads at most TRAIN_DOCS labelled documents, the ids of smallest hash.  Of each it takes one
+window of at most TRAIN_LINES lines that begins at a line chosen by the id's hash; every fourth
+document is held back, and calibration (a logistic curve) is fitted on the scores of these as wholes.
+These bounds hold for learning alone.  Scoring reads every line of every document.
 
 Cases: null and empty texts are one empty line and get a score like any other.  Labels that are null
-or belong to no document are not used; several labels of one document count as the largest.  Without
-any usable label (or with one kind only) the score is the share of good labels, 0.5 without any.
-Repeated rows get equal scores; extra columns stay.
+or belong to no document are not used; several labels of one document count as the largest, and of
+several texts under one id the one of smallest hash is used.  Without any usable label (or with one
+kind only) the score is the share of good labels, 0.5 without any.  Repeated rows get equal scores; a
+text is held whole by one task; extra columns of any name stay, but for score and predicted, which are
+replaced.
 """
 
 from __future__ import annotations
@@ -24,11 +33,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, Texts, chunks, prefix_hash, range_hash, ship, words
+from .common import LOWER, Texts, chunks, cut, plain_names, prefix_hash, range_hash, ship, words
 
 TRAIN_DOCS = 3000
 TRAIN_LINES = 30
 ROUNDS = 150
+WARM = 60
+EVIDENCE = 2.0
 THRESHOLD = 0.3
 
 _CLASSES = np.zeros((6, 256), bool)
@@ -135,9 +146,9 @@ class QualityModel:
     def score(self, x: np.ndarray, size: np.ndarray, first: np.ndarray) -> np.ndarray:
         if self.prior is not None:
             return np.full(len(first) - 1, self.prior)
-        return 1 / (1 + np.exp(-(self.slope * self._odds(x, size, first) + self.shift)))
+        return 1 / (1 + np.exp(-(self.slope * self.odds(x, size, first) + self.shift)))
 
-    def _odds(self, x: np.ndarray, size: np.ndarray, first: np.ndarray) -> np.ndarray:
+    def odds(self, x: np.ndarray, size: np.ndarray, first: np.ndarray) -> np.ndarray:
         if len(first) < 2:
             return np.zeros(0)
         weight = size + 1e-3  # a document of empty lines weighs them alike
@@ -146,13 +157,20 @@ class QualityModel:
         return np.log(good / (1 - good))
 
 
-def fit(x: np.ndarray, size: np.ndarray, first: np.ndarray, label: np.ndarray, rounds: int = ROUNDS, ridge: float = 1e-2) -> QualityModel:
-    """Maximum likelihood with a ridge, by Adam; then Platt scaling of the documents' scores."""
+def _pairs(ahead: np.ndarray, back: np.ndarray, norm: np.ndarray, odds: np.ndarray, move: np.ndarray, inside: np.ndarray) -> np.ndarray:
+    """Expected counts of (tag, next tag)."""
+    emit = np.column_stack([np.zeros_like(odds), odds])
+    return np.array([[np.exp(ahead[inside - 1, a] + move[a, b] + emit[inside, b] + back[inside, b] - norm[inside]).sum() for b in (0, 1)] for a in (0, 1)])
+
+
+def fit(x: np.ndarray, first: np.ndarray, label: np.ndarray, rounds: int = ROUNDS, ridge: float = 1e-2) -> QualityModel:
+    """Maximum likelihood of the latent tags with a ridge, by Adam."""
     if not len(label) or len(np.unique(label)) < 2:
         return QualityModel(np.zeros(N_FEATURES), np.ones(N_FEATURES), np.zeros(N_FEATURES), 0.0, np.zeros((2, 2)), prior=float(label.mean()) if len(label) else 0.5)
     mean, scale = x.mean(0), x.std(0) + 1e-3
     z = np.clip((x - mean) / scale, -8, 8)
     y = np.repeat(label, np.diff(first)).astype(np.float64)
+    goal = y
     inside = np.ones(len(y), bool)
     inside[first[:-1]] = False
     inside = np.flatnonzero(inside)
@@ -165,19 +183,28 @@ def fit(x: np.ndarray, size: np.ndarray, first: np.ndarray, label: np.ndarray, r
         ahead, back, total = _sweep(odds, first, move)
         norm = np.repeat(total, np.diff(first))
         p = np.exp(ahead[:, 1] + back[:, 1] - norm)
-        emit = np.column_stack([np.zeros_like(odds), odds])
-        pair = np.array([[np.exp(ahead[inside - 1, a] + move[a, b] + emit[inside, b] + back[inside, b] - norm[inside]).sum() for b in (0, 1)] for a in (0, 1)])
-        grad = np.concatenate([z.T @ (p - y), [(p - y).sum()], (pair - seen).ravel()]) / n + ridge * theta
+        pair = _pairs(ahead, back, norm, odds, move, inside)
+        if step >= WARM:
+            told = odds + EVIDENCE * (2 * y - 1)
+            there, then, all_ = _sweep(told, first, move)
+            all_ = np.repeat(all_, np.diff(first))
+            goal, seen = np.exp(there[:, 1] + then[:, 1] - all_), _pairs(there, then, all_, told, move, inside)
+        grad = np.concatenate([z.T @ (p - goal), [(p - goal).sum()], (pair - seen).ravel()]) / n + ridge * theta
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
         theta = theta - 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
-    model = QualityModel(mean, scale, theta[:N_FEATURES], float(theta[N_FEATURES]), theta[-4:].reshape(2, 2).copy())
-    odds, a, b = model._odds(x, size, first), 1.0, 0.0
+    return QualityModel(mean, scale, theta[:N_FEATURES], float(theta[N_FEATURES]), theta[-4:].reshape(2, 2).copy())
+
+
+def calibrate(model: QualityModel, odds: np.ndarray, label: np.ndarray) -> None:
+    """The logistic curve over the scores of documents that were held back."""
+    if len(np.unique(label)) < 2:
+        return
+    a, b = 1.0, 0.0
     for _ in range(300):
         p = 1 / (1 + np.exp(-(a * odds + b)))
         a -= 0.05 * (((p - label) * odds).mean() + 1e-2 * (a - 1))
         b -= 0.05 * ((p - label).mean() + 1e-3 * b)
     model.slope, model.shift = float(a), float(b)
-    return model
 
 
 def train(docs: DataFrame, labels: DataFrame, n_docs: int = TRAIN_DOCS, n_lines: int = TRAIN_LINES) -> QualityModel:
@@ -186,39 +213,55 @@ def train(docs: DataFrame, labels: DataFrame, n_docs: int = TRAIN_DOCS, n_lines:
     The sample is the `n_docs` labelled ids of smallest hash, the same however the tables are split.
     """
     ship(docs.sparkSession)
-    usable = labels.where("quality is not null and doc_id is not null").where(F.crc32(F.col("doc_id").cast("string")) % 5 != 0)
-    picked = usable.groupBy("doc_id").agg(F.max("quality").alias("__quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n_docs)
+    labels, _, (doc_id, quality) = plain_names(labels, "doc_id", "quality")
+    usable = labels.where(f"{quality} is not null and {doc_id} is not null").where(F.crc32(F.col(doc_id).cast("string")) % 5 != 0)
+    picked = usable.groupBy(F.col(doc_id).cast("bigint").alias("doc_id")).agg(F.max(quality).cast("int").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n_docs)
+    picked = cut(picked)  # n_docs rows at most: they may be sent to every task
+    joined = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(F.broadcast(picked), "doc_id")
+    joined = joined.select("doc_id", "quality", F.xxhash64("text").alias("h"), F.xxhash64(F.lit(3), "doc_id").alias("spot"), F.coalesce("text", F.lit("")).alias("text"))
+    kept = F.pmod("spot", F.lit(4)) != 0
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in chunks(batch):
-                x, size, first = line_features(Texts(part.column("text")))
-                rows = [slice(lo, min(hi, lo + n_lines)) for lo, hi in zip(first[:-1], first[1:], strict=True)]
-                made = [pa.array([f(s) for s in rows], pa.binary()) for f in (lambda s: x[s].astype(np.float32).tobytes(), lambda s: size[s].astype(np.float32).tobytes())]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("quality"), *made], ["doc_id", "quality", "x", "size"])
+                x, _, first = line_features(Texts(part.column("text")))
+                made = []
+                for lo, hi, spot in zip(first[:-1].tolist(), first[1:].tolist(), part.column("spot").to_pylist(), strict=True):
+                    at = lo + (spot // 4) % max(1, hi - lo - n_lines + 1)
+                    made.append(x[at : min(hi, at + n_lines)].astype(np.float32).tobytes())
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("doc_id", "quality", "h")), pa.array(made, pa.binary())], ["doc_id", "quality", "h", "v"])
 
-    # the picked ids are n_docs rows at most, so they may be sent to every task
-    joined = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(F.broadcast(picked), "doc_id").select("doc_id", F.col("__quality").cast("int").alias("quality"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = joined.mapInArrow(features, "doc_id bigint, quality int, x binary, size binary").dropDuplicates(["doc_id"]).collect()
-    rows = sorted(rows, key=lambda r: r["doc_id"])
-    size = [np.frombuffer(r["size"], np.float32).astype(np.float64) for r in rows]
-    x = np.concatenate([np.zeros((0, N_FEATURES)), *[np.frombuffer(r["x"], np.float32).reshape(-1, N_FEATURES) for r in rows]])
-    first = np.concatenate([[0], np.cumsum([len(s) for s in size])]).astype(np.int64)
-    return fit(x, np.concatenate([np.zeros(0), *size]), first, np.array([min(1, max(0, r["quality"])) for r in rows], np.float64))
+    def one_each(rows: DataFrame) -> list:
+        return sorted(rows.groupBy("doc_id").agg(F.min_by(F.struct("quality", "v"), "h").alias("r")).select("doc_id", "r.*").collect(), key=lambda r: r["doc_id"])
+
+    rows = one_each(joined.where(kept).mapInArrow(features, "doc_id bigint, quality int, h bigint, v binary"))
+    x = [np.frombuffer(r["v"], np.float32).reshape(-1, N_FEATURES) for r in rows]
+    first = np.concatenate([[0], np.cumsum([len(v) for v in x])]).astype(np.int64)
+    mark = lambda rows: np.array([min(1, max(0, r["quality"])) for r in rows], np.float64)
+    model = fit(np.concatenate([np.zeros((0, N_FEATURES)), *x]), first, mark(rows))
+    if model.prior is not None:
+        return model
+
+    def odds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in chunks(batch):
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("doc_id", "quality", "h")), pa.array(model.odds(*line_features(Texts(part.column("text")))))], ["doc_id", "quality", "h", "v"])
+
+    rows = one_each(joined.where(~kept).mapInArrow(odds, "doc_id bigint, quality int, h bigint, v double"))
+    calibrate(model, np.array([r["v"] for r in rows]), mark(rows))
+    return model
 
 
 def score(docs: DataFrame, model: QualityModel, threshold: float = THRESHOLD) -> DataFrame:
     """`docs` plus score (0 to 1) and predicted (1: good)."""
     ship(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    names = [c for c in docs.columns if c not in ("score", "predicted")]
-    docs = docs.select(*[f"`{c}`" for c in names])
+    docs, names, (text,) = plain_names(docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in ("score", "predicted")]), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in chunks(batch, most=1 << 21):
-                x, size, first = line_features(Texts(part.column("text")))
-                s = sent.value.score(x, size, first)
+            for part in chunks(batch, text, 1 << 21):
+                s = sent.value.score(*line_features(Texts(part.column(text))))
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(s), pa.array((s >= threshold).astype(np.int32))], [*part.schema.names, "score", "predicted"])
 
-    return docs.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", score double, predicted int")
+    return docs.mapInArrow(run, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in docs.schema) + ", score double, predicted int").toDF(*names, "score", "predicted")
