@@ -10,7 +10,9 @@ and articles, whose blocks are known.
 
 Cases: null or empty html gives an empty text.  Open elements end where HTML lets them; stray end
 tags are ignored; an unclosed comment, script or tag runs to the end.  Deep trees need no recursion.
-Repeated rows are judged one by one and extra columns stay.
+Repeated rows are judged one by one, each page whole in one task; extra columns of any name stay, but for
+text, which is replaced.  Formulas and drawings inside a sentence stay in it with their text; form controls
+go without ending the block.
 """
 
 from __future__ import annotations
@@ -19,28 +21,36 @@ import functools
 import html
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from .common import Texts, chunks, ship
+from .common import Texts, chunks, plain_names, ship
 
 _MARK = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*+>?|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>?""", re.S)
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _WORD = re.compile(r"[a-z]+")
 #: Elements whose inside is no page text.
-_SILENT = frozenset("script style noscript template svg math iframe object canvas textarea select option button title head audio video".split())
+_SILENT = frozenset("script style noscript template iframe textarea select option button datalist title head annotation".split())
+#: Form controls and the like stand inside a line of text: they end no block.
+_SILENT_INLINE = frozenset("script style noscript template iframe textarea select option button datalist annotation".split())
+#: All elements inside these stand in one line.
+_DRAWN = frozenset(("math", "svg"))
 _RAW = frozenset(("script", "style", "textarea", "title", "iframe", "noscript"))
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var".split())
+_INLINE = frozenset("math svg object canvas audio video picture map nobr font output meter progress bdo slot ruby rb rtc a abbr acronym b bdi bdo big cite code data del dfn em i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var".split())
 _ENDS_P = frozenset("address article aside blockquote center details dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul li dt dd".split())
 #: An element of the key ends open elements of the values, up to the nearest of the borders.
 _ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "body": ("head",)}
 _BORDERS = frozenset("html body article section div aside nav header footer main table ul ol dl td th form blockquote".split())
 
+#: Further elements that are blocks; of unknown ones those with a hyphen in their name, as pages use them as boxes.
+_BLOCKS = frozenset("caption col colgroup legend optgroup summary search hgroup frameset noframes body html head title rp thead tfoot".split())
 _GROUPS = {t: k for k, tags in enumerate(("html body", "div section center td th tr tbody table", "nav menu", "header", "footer", "aside", "form fieldset dialog", "article", "main", "p pre blockquote figcaption", "h1 h2 h3 h4 h5 h6", "li dt dd", "ul ol dl", "figure details address")) for t in tags.split()}
 _N_GROUPS = 15  # the last: any other element; text blocks have a feature of their own
 _BAD = frozenset("nav menu sidebar side ad ads advert advertisement sponsor sponsored banner cookie cookies consent notice notices alert comment comments reply replies respond footer header masthead promo share sharing social related recommended widget login signup subscribe newsletter breadcrumb breadcrumbs pagination pager popup modal toolbar copyright legal disclaimer rail navigation search form tags".split())
@@ -75,9 +85,10 @@ def parse(page: str) -> Tree:
     """The tree of a page; node 0 is the page itself."""
     tree = Tree()
     tree.add(-1, 0, False, False)
-    stack: list[tuple[str, int]] = [("", 0)]  # open elements with their nodes (inline ones keep the node around them)
-    quiet = 0  # open elements of _SILENT
-    anchors = 0
+    stack: list[tuple[str, int, bool]] = [("", 0, False)]  # open elements: tag, node (inline ones have that around them), inline
+    open_ = Counter({"": 1})
+    inner = [Counter()]  # inline elements open in each open block
+    quiet = drawn = anchors = 0  # open elements of _SILENT, _DRAWN, and links
     parts: list[tuple[str, bool]] = []
 
     def flush() -> None:
@@ -89,15 +100,32 @@ def parse(page: str) -> Tree:
                 tree.add(stack[-1][1], _N_GROUPS, False, False, text, round(len(text) * links / max(1, total)))
             parts.clear()
 
+    def push(tag: str, node: int, inline: bool) -> None:
+        nonlocal quiet, drawn, anchors
+        stack.append((tag, node, inline))
+        open_[tag] += 1
+        quiet, drawn, anchors = quiet + (tag in _SILENT), drawn + (tag in _DRAWN), anchors + (tag == "a")
+        if inline:
+            inner[-1][tag] += 1
+        else:
+            inner.append(Counter())
+
     def close(at: int) -> None:
-        nonlocal quiet, anchors
-        if any(t not in _INLINE for t, _ in stack[at:]):
+        nonlocal quiet, drawn, anchors
+        if not all(inline for _, _, inline in stack[at:]):
             flush()
-        quiet -= sum(t in _SILENT for t, _ in stack[at:])
-        anchors -= sum(t == "a" for t, _ in stack[at:])
-        del stack[at:]
+        while len(stack) > at:
+            tag, _, inline = stack.pop()
+            open_[tag] -= 1
+            quiet, drawn, anchors = quiet - (tag in _SILENT), drawn - (tag in _DRAWN), anchors - (tag == "a")
+            if inline:
+                inner[-1][tag] -= 1
+            else:
+                inner.pop()
 
     def end_open(tags: tuple[str, ...], stop: frozenset[str]) -> None:
+        if not any(open_[t] for t in tags):
+            return
         for k in range(len(stack) - 1, 0, -1):
             if stack[k][0] in tags:
                 close(k)
@@ -118,41 +146,34 @@ def parse(page: str) -> Tree:
         if not tag:
             continue
         ends, tag = bool(m[1] or m[4]), tag.lower()
+        if tag == "br":  # its end tag counts as one, too
+            parts.append((" ", False))
+            continue
+        inline = tag in _INLINE or tag in _SILENT_INLINE or drawn > 0 or (tag not in _GROUPS and tag not in _ENDS_P and tag not in _BLOCKS and "-" not in tag)
         if ends:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == tag:
-                    close(k)
-                    break
-                if tag in _INLINE and stack[k][0] not in _INLINE:
-                    break  # an inline end does not reach out of its block
-            if tag == "p" or tag == "br":
+            # an inline end does not reach out of its block; ends of what is not open are passed over at once
+            if inner[-1][tag] if inline else open_[tag]:
+                close(next(k for k in range(len(stack) - 1, 0, -1) if stack[k][0] == tag))
+            if tag == "p":
                 flush()
             continue
-        if tag == "br":
-            parts.append((" ", False))
-            continue
         if tag in _ENDS_P:
             end_open(("p",), _BORDERS)
         if tag in _ENDS:
             end_open(_ENDS[tag], frozenset(("ul", "ol", "dl", "table", "select")) if tag != "body" else frozenset())
-        if tag in _VOID:
+        if tag in _VOID or (drawn and page[at - 2] == "/"):
             if tag == "hr":
                 flush()
             continue
-        if tag in _RAW:
+        if tag in _RAW and not (drawn and tag == "title"):
             end = re.compile(rf"</{tag}(?=[\s/>])", re.I).search(page, at)
             at = end.start() if end else n
-        if tag in _SILENT:
-            quiet += 1
-        if tag == "a":
-            anchors += 1
-        if tag in _INLINE:
-            stack.append((tag, stack[-1][1]))
+        if inline:
+            push(tag, stack[-1][1], True)
             continue
         flush()
         words = {w for name in _NAMES.findall((m[3] if m[2] else m[6]) or "") for w in _WORD.findall("".join(name).lower())}
-        node = stack[-1][1] if tag in _SILENT else tree.add(stack[-1][1], _GROUPS.get(tag, _N_GROUPS - 1), bool(words & _GOOD), bool(words & _BAD))
-        stack.append((tag, node))
+        push(tag, stack[-1][1] if tag in _SILENT else tree.add(stack[-1][1], _GROUPS.get(tag, _N_GROUPS - 1), bool(words & _GOOD), bool(words & _BAD)), False)
     flush()
     return tree
 
@@ -169,7 +190,8 @@ class Forest:
         self.parent = np.where(parent >= 0, parent + np.repeat(self.first[:-1], sizes), -1)
         self.depth = join("depth", np.int64)
         self.group = join("group", np.int64)
-        self.levels = [np.flatnonzero(self.depth == d) for d in range(1, int(self.depth.max()) + 1)] if len(parent) else []
+        order = np.argsort(self.depth, kind="stable")
+        self.levels = np.split(order, np.flatnonzero(np.diff(self.depth[order])) + 1)[1:] if len(parent) else []
         chars, links = join("chars", np.float64), join("links", np.float64)
         blocks = (self.group == _N_GROUPS).astype(np.float64)
         block = blocks.copy()
@@ -381,14 +403,13 @@ def extract_text(pages: DataFrame, model: TreeModel | None = None) -> DataFrame:
     """`pages` (with an html column) plus text."""
     ship(pages.sparkSession)
     sent = pages.sparkSession.sparkContext.broadcast(model or trained())
-    names = [c for c in pages.columns if c != "text"]
-    pages = pages.select(*[f"`{c}`" for c in names])
+    pages, names, (page,) = plain_names(pages.select(*[F.col(f"`{c}`") for c in pages.columns if c != "text"]), "html")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in chunks(batch, "html"):
-                column = Texts(part.column("html"))
+            for part in chunks(batch, page):
+                column = Texts(part.column(page))
                 texts = sent.value.texts([column.bytes(i).decode() for i in range(column.n)])
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], [*part.schema.names, "text"])
 
-    return pages.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pages.schema) + ", text string")
+    return pages.mapInArrow(run, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pages.schema) + ", text string").toDF(*names, "text")
