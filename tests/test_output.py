@@ -10,7 +10,7 @@ from loomframe import CSVWriter, Table, convert, read_csv, unparse
 from loomframe.cli import COMMANDS, load_config, run
 from loomframe.sources import strict
 from loomframe.sources.sinks import convert_to, write_file
-from loomframe.sources.synthetic import fuzz_csv, generate_csv
+from loomframe.sources.synthetic import awkward_lines, csv_text, generated_lines
 from loomframe.streaming.stream import Handle, batches, chunked, read_stream, run_batches, step
 
 
@@ -53,17 +53,28 @@ def test_convert(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "j")).count() == 2
 
 
-def test_generators():
-    text = generate_csv(3, ["id:integer", "n:name", "d:date", "f:float"], seed=7)
-    assert text == generate_csv(3, ["id:integer", "n:name", "d:date", "f:float"], seed=7) and text.startswith("id,n,d,f\n") and len(text.split("\n")) == 5
-    assert len(list(strict.records(fuzz_csv(100, unicode=True, nested_quotes=True)))) > 80
-
-
-def test_fuzz_round_trip(spark):
-    first = read_csv(spark, fuzz_csv(120, unicode=True).encode())
-    again = read_csv(spark, unparse(spark, first, newline="\n").encode(), skip_empty_rows=False)
+def test_generators(spark):
+    columns = ["id:integer", "n:name", "d:date", "f:float", "ok:boolean", "free"]
+    made = generated_lines(spark, 300, columns, seed=7)
+    text = csv_text(made, columns)
+    assert text == csv_text(generated_lines(spark.newSession(), 300, columns, seed=7).repartition(5), columns)
+    assert text.startswith("id,n,d,f,ok,free\n") and text != csv_text(generated_lines(spark, 300, columns, seed=8), columns)
+    got = read_csv(spark, text.encode(), dynamic_typing=True)
+    assert got.count() == 300 and dict(got.to_df().dtypes) == {"id": "double", "n": "string", "d": "string", "f": "double", "ok": "boolean", "free": "string"} | {k: v for k, v in got.to_df().dtypes if k == "id"}
+    with pytest.raises(ValueError, match="unknown kind"):
+        generated_lines(spark, 1, ["a:colour"])
+
+
+@pytest.mark.parametrize("wide,longest", [(False, 0), (True, 500)])
+def test_awkward_lines_round_trip(spark, wide, longest):
+    text = csv_text(awkward_lines(spark, 400, wide=wide, longest=longest), ["a", "b", "c"])
+    want = [[strict.field(f) for f in r] for r in strict.records(text)][1:]
+    assert len(want) == 400 and {len(r) for r in want} == {3}
+    first = read_csv(spark, text.encode(), strict=True)
+    again = read_csv(spark, unparse(spark, first, newline="\n").encode(), strict=True)
     # the serializer writes null and empty text alike
-    assert [[v or None for v in r] for r in first.collect()] == [list(r) for r in again.collect()]
+    assert [[v or None for v in r] for r in first.collect()] == [[v or None for v in r] for r in want]
+    assert [[v or None for v in r] for r in again.collect()] == [[v or None for v in r] for r in want]
 
 
 @settings(max_examples=15, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
