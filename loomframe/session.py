@@ -20,10 +20,12 @@ def session(name: str = "loomframe", **conf: str) -> SparkSession:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors see: spark.checkpoint.dir, or a local one where none is set (as in tests)."""
+    """The folder that all executors see: spark.checkpoint.dir.  Only a session on one machine may do without one."""
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not named:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         named = tempfile.mkdtemp(prefix="loomframe-")
         sc.setCheckpointDir(named)
     return named
@@ -103,7 +105,7 @@ def _lines_end(stream, newline: bytes, lines: int, block: int = 1 << 16) -> tupl
     return done, lines
 
 
-def spool_body(spark: SparkSession, paths: list[str], mark: int, lines: int, encoding: str, name: str = "spooled.csv") -> str:
+def spool_body(spark: SparkSession, paths: list[str], mark: int, lines: int, encoding: str, name: str = "spooled.csv", target: str | None = None) -> str:
     """Copy files, one after the other, to the shared folder as UTF-8 without a mark of `mark` bytes and the first `lines` lines.
 
     The JVM streams the text, so inputs of any size take constant memory.
@@ -113,7 +115,7 @@ def spool_body(spark: SparkSession, paths: list[str], mark: int, lines: int, enc
         encoding = known = f"{known}-le"
     newline = "\n".encode(known)
     jvm = spark.sparkContext._jvm
-    target = _target(spark, name)
+    target = target or _target(spark, name)
     fs, where = _fs(spark, target)
     writer = jvm.java.io.OutputStreamWriter(fs.create(where, True), "UTF-8")
     try:
@@ -131,3 +133,11 @@ def spool_body(spark: SparkSession, paths: list[str], mark: int, lines: int, enc
     finally:
         writer.close()
     return target
+
+
+def recoded(spark: SparkSession, paths: list[str], encoding: str) -> str:
+    """A folder with UTF-8 copies of files, in their order."""
+    folder = _target(spark, "recoded")
+    for k, path in enumerate(paths):
+        spool_body(spark, [path], 0, 0, encoding, target=f"{folder}/{k:06d}.csv")
+    return folder

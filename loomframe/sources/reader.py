@@ -6,12 +6,16 @@ record size, number of fields, line range, record hook, trim, transform, empty r
 Records with a wrong number of fields are recognised by the source itself and taken apart by string
 expressions, so no policy needs a Python worker; only user functions on rows and `strict` do.
 
-`splittable=True` reads parts of a file in parallel (records must not contain line ends).
+`strict` follows the exact quote rules and reads parts of a file in parallel, as record sizes and blank
+records need it anyway; the default leaves quotes to the source, one task a file, and `splittable=True`
+reads parts in parallel with it (records must not contain line ends).
 """
 
 from __future__ import annotations
 
+import base64
 import os
+import urllib.parse
 import urllib.request
 from collections.abc import Callable, Iterable, Iterator, Sequence
 from dataclasses import dataclass, field, fields
@@ -25,12 +29,14 @@ from loomframe.functions import typing as ty
 from loomframe.functions.text import blank, trim
 from loomframe.operators.table import Table, col
 from loomframe.plans.order import positions, scan_positions
-from loomframe.session import files, head_bytes, spool, spool_body
-from loomframe.sources import detect, strict
+from loomframe.session import files, head_bytes, recoded, spool, spool_body
+from loomframe.sources import detect, parallel, strict
 from loomframe.sources.errors import no_errors
 
-_RAW, _POS, _EXTRA, _N = "__raw", "__pos", "__parsed_extra", "__n_fields"
+_RAW, _POS, _EXTRA, _N, _SIZE = "__raw", "__pos", "__parsed_extra", "__n_fields", "__size"
 HEAD = 1 << 16
+#: Bytes that a preview takes to the driver at most; a longer one reads the table.
+_MOST_LEAD = 16 << 20
 #: Of larger inputs the body behind skipped lines is not taken into the driver's Python; the JVM streams it to the copy.
 SPOOL_BYTES = 64 << 20
 
@@ -55,6 +61,7 @@ class ReadOptions:
     transform: Callable[[Column, str], Column] | None = None
     transform_header: Callable[[str, int], str] | None = None
     download_headers: dict[str, str] = field(default_factory=dict)
+    with_credentials: bool = False
     skip_records_with_error: bool = False
     skip_records_with_empty_values: bool = False
     max_record_size: int = 0
@@ -82,7 +89,8 @@ class ReadOptions:
 
     @property
     def comment(self) -> str | None:
-        return None if not self.comments else "#" if self.comments is True else self.comments[0]
+        """What a comment begins with: one character, in fast mode as many as are given."""
+        return None if not self.comments else "#" if self.comments is True else self.comments if self.fast_mode else self.comments[0]
 
 
 def header_names(raw: Sequence[str | None], options: ReadOptions) -> list[str]:
@@ -103,6 +111,22 @@ def header_names(raw: Sequence[str | None], options: ReadOptions) -> list[str]:
     return out
 
 
+def _download(url: str, options: ReadOptions) -> bytes:
+    """The body of an answer; a non-2xx one raises.  With credentials, a name and password in the URL and cookies set on the way are sent."""
+    parts = urllib.parse.urlsplit(url)
+    headers = dict(options.download_headers)
+    handlers: list[urllib.request.BaseHandler] = []
+    if parts.username is not None:
+        url = urllib.parse.urlunsplit(parts._replace(netloc=parts.netloc.rpartition("@")[2]))
+    if options.with_credentials:
+        handlers.append(urllib.request.HTTPCookieProcessor())
+        if parts.username is not None:
+            given = f"{urllib.parse.unquote(parts.username)}:{urllib.parse.unquote(parts.password or '')}"
+            headers.setdefault("Authorization", "Basic " + base64.b64encode(given.encode()).decode())
+    with urllib.request.build_opener(*handlers).open(urllib.request.Request(url, headers=headers)) as answer:  # noqa: S310
+        return answer.read()
+
+
 def _source(spark: SparkSession, source: Any, options: ReadOptions) -> str:
     """A path that Spark can read: buffers, streams, URLs and hooks are spooled to the shared folder."""
     data: bytes | None = None
@@ -111,8 +135,7 @@ def _source(spark: SparkSession, source: Any, options: ReadOptions) -> str:
     elif isinstance(source, (str, os.PathLike)):
         source = os.fspath(source)
         if source.startswith(("http://", "https://")):
-            with urllib.request.urlopen(urllib.request.Request(source, headers=options.download_headers)) as answer:  # noqa: S310  a non-2xx answer raises
-                data = answer.read()
+            data = _download(source, options)
     elif hasattr(source, "read"):
         data = source.read()
         data = data.encode() if isinstance(data, str) else data
@@ -139,7 +162,8 @@ def _source(spark: SparkSession, source: Any, options: ReadOptions) -> str:
         _, mark = detect.detect_mark(data)
         text = data[mark:].decode(encoding, "replace")
         if options.before_first_chunk:
-            text = options.before_first_chunk(text) or text
+            changed = options.before_first_chunk(text)
+            text = changed if isinstance(changed, str) else text
         for _ in range(options.skip_first_n_lines):
             at = text.find("\n")
             text = text[at + 1 :] if at >= 0 else ""
@@ -175,10 +199,28 @@ def _head(spark: SparkSession, path: str, options: ReadOptions) -> tuple[str, li
     return delimiter, names, encoding, detect.detect_linebreak(text)
 
 
+def _lead(spark: SparkSession, path: str, delimiter: str, encoding: str, o: ReadOptions) -> bytes | None:
+    """The first records of a file that is much longer than a preview needs, None of others."""
+    first, size = next(((p, n) for p, n, _ in files(spark, path) if n), ("", 0))
+    if size <= 4 * HEAD:
+        return None
+    quote, want, most = "" if o.fast_mode else o.quote_char, o.preview + bool(o.has_header), HEAD
+    while 4 * most <= size and most <= _MOST_LEAD:
+        raw = head_bytes(spark, first, most)
+        _, mark = detect.detect_mark(raw)
+        text, found = raw[mark:].decode(encoding, "replace"), 0
+        for record, end in strict.ended_records(text, delimiter, quote):
+            found += record == [""] and o.skip_empty_rows is False or record != [""] and not (o.comment and record[0].startswith(o.comment))
+            if found == want and end < len(text) - 1:
+                return text[:end].encode()
+        most *= 4
+    return None
+
+
 def _strict(spark: SparkSession, path: str, names: list[str], delimiter: str, encoding: str, o: ReadOptions) -> DataFrame:
-    """One task a file: exact quote rules, raw line ends kept."""
-    schema = StructType([StructField(n, StringType()) for n in names]).add(_RAW, StringType()).add(_N, IntegerType()).add("__in_file", LongType()).add("__file", StringType())
-    quote, comment, header, width, keep_blank = o.quote_char, o.comment, o.has_header, len(names), o.skip_empty_rows is False
+    """One task a file, for encodings that lines cannot be split in: exact quote rules, raw line ends kept."""
+    schema = StructType([StructField(n, StringType()) for n in names]).add(_RAW, StringType()).add(_N, IntegerType()).add(_SIZE, LongType()).add("__in_file", LongType()).add("__file", StringType())
+    quote, comment, header, width, keep_blank = "" if o.fast_mode else o.quote_char, o.comment, o.has_header, len(names), o.skip_empty_rows is False
 
     def run(parts: Iterator[Any]) -> Iterator[Any]:
         import pandas as pd
@@ -196,7 +238,7 @@ def _strict(spark: SparkSession, path: str, names: list[str], delimiter: str, en
                         continue
                     values = [strict.field(f, quote) for f in record]
                     wrong = delimiter.join(record) if len(record) != width else None
-                    rows.append([*(values + [None] * width)[:width], wrong, len(record), k, name])
+                    rows.append([*(values + [None] * width)[:width], wrong, len(record), sum(len(f.encode()) for f in record), k, name])
                     k += 1
                     if len(rows) == 4096:
                         yield pd.DataFrame(rows, columns=schema.names)
@@ -247,17 +289,23 @@ def read_csv(spark: SparkSession, source: Any, options: ReadOptions | None = Non
     path = _source(spark, source, o)
     delimiter, names, encoding, linebreak = _head(spark, path, o)
     meta = {"delimiter": delimiter, "linebreak": linebreak, "encoding": encoding, "fields": names if o.has_header else None, "truncated": False, "aborted": False, "path": path, "files": files(spark, path)}
+    if o.preview and (short := _lead(spark, path, delimiter, encoding, o)) is not None:
+        path, encoding = spool(spark, short), "UTF-8"
     if not names:
         return Table(spark.createDataFrame([], StructType([])), [], meta=meta)
-    if encoding.lower() in ("windows-1252", "shift_jis", "cp1252"):
-        spark.conf.set("spark.sql.legacy.javaCharsets", "true")
+    if encoding.lower() in ("windows-1252", "shift_jis", "cp1252") and spark.conf.get("spark.sql.legacy.javaCharsets", "false") != "true":
+        # the source reads these under a session setting only, which is not ours to change
+        path, encoding = recoded(spark, [p for p, n, _ in meta["files"] if n], encoding), "UTF-8"
     quote = "" if o.fast_mode else o.quote_char
     checks = o.has_header and not o.relax_column_count
     raw = o.has_header or o.max_record_size > 0
-    if o.strict or o.skip_empty_rows is False:
+    exact = o.strict or o.skip_empty_rows is False or bool(o.max_record_size) or len(o.comment or "") > 1
+    if exact and encoding.upper() in ("UTF-8", "US-ASCII"):
+        df = parallel.scan(spark, path, names, delimiter, quote, o.comment, o.has_header, o.skip_empty_rows is False)
+        order, single = parallel.ORDER, False
+    elif exact:
         df = _strict(spark, path, names, delimiter, encoding, o)
-        order = [("__file", True), ("__in_file", True)]
-        single = False
+        order, single = [("__file", True), ("__in_file", True)], False
     else:
         df = _scan(spark, path, names, delimiter, encoding, o, raw)
         if raw:
@@ -283,9 +331,7 @@ def read_csv(spark: SparkSession, source: Any, options: ReadOptions | None = Non
     # record size and number of fields
     wrong = []
     if o.max_record_size:
-        # of a well-formed record the source keeps no raw text: its size is that of its values
-        size = sum((F.octet_length(F.coalesce(col(n), F.lit(""))) for n in names), F.lit(0))
-        size = F.when(F.col(_RAW).isNotNull(), F.octet_length(_RAW) - F.col(_N) + 1).otherwise(size) if raw else size
+        size = F.col(_SIZE)
         too_big = size > o.max_record_size
         message = lambda: F.concat(F.lit("Record at row "), F.col(_POS).cast("string"), F.lit(f" exceeds maximum size of {o.max_record_size} bytes (got "), size.cast("string"), F.lit(")"))
         wrong.append(("RecordSize", "MaxRecordSize", too_big, message))
@@ -327,7 +373,7 @@ def read_csv(spark: SparkSession, source: Any, options: ReadOptions | None = Non
     greedy = o.skip_empty_rows == "greedy" or o.skip_records_with_empty_values == "greedy"
     if greedy or o.skip_records_with_empty_values:
         df = df.where(~F.forall(F.array(*map(col, names)), lambda c: blank(c, greedy)))
-    df = df.drop(_RAW, _N)
+    df = df.drop(_RAW, _N, _SIZE)
     if o.dynamic_typing:
         pick = o.dynamic_typing
         on = [n for n in names if pick is True or (pick(n) if callable(pick) else pick.get(n, False))]
@@ -358,6 +404,16 @@ def _records(df: DataFrame, names: list[str], hook: Callable[[list, dict], list
     return df.mapInPandas(run, df.schema)
 
 
+def changed_since_read(spark: SparkSession, table: Table) -> list[str]:
+    """The files of a read table that were changed, added or taken away since (by size and time)."""
+    then = {p: (n, t) for p, n, t in table.meta["files"]}
+    try:
+        now = {p: (n, t) for p, n, t in files(spark, table.meta["path"])}
+    except FileNotFoundError:
+        now = {}
+    return sorted(p for p in then.keys() | now.keys() if then.get(p) != now.get(p))
+
+
 def typed_table(table: Table, schema: dict[str, Any]) -> Table:
     """Declared types on a text table: {name: type} or {name: {"type", "nullable", "default", "col"}}."""
     made = {}

@@ -8,6 +8,11 @@ from collections.abc import Iterator
 
 def records(text: str, delimiter: str = ",", quote: str = '"') -> Iterator[list[str]]:
     """Raw fields of each record: a quote anywhere toggles quoting; CR, LF and CRLF end a record outside quotes."""
+    return (fields for fields, _ in ended_records(text, delimiter, quote))
+
+
+def ended_records(text: str, delimiter: str = ",", quote: str = '"') -> Iterator[tuple[list[str], int]]:
+    """The same, with where each record's line end ends."""
     stop = re.compile(f"[{re.escape(delimiter)}{re.escape(quote)}\r\n]" if quote else f"[{re.escape(delimiter)}\r\n]")
     fields: list[str] = []
     start = at = 0
@@ -25,12 +30,12 @@ def records(text: str, delimiter: str = ",", quote: str = '"') -> Iterator[list[
             start = at
         else:
             fields.append(text[start : at - 1])
-            yield fields
             if c == "\r" and text[at : at + 1] == "\n":
                 at += 1
+            yield fields, at
             fields, start = [], at
     if start < n or fields:
-        yield [*fields, text[start:]]
+        yield [*fields, text[start:]], n
 
 
 def field(raw: str, quote: str = '"') -> str | None:
