@@ -95,13 +95,55 @@ def render(table: Any, kind: str) -> str:
     return show_table(list(table.rows()), table.columns) if kind == "table" else convert(table, kind)
 
 
+def _options() -> dict[str, list[tuple[list[str], list[str]]]]:
+    """Of each command: the flags of an option and the values it takes, if these are fixed."""
+    subs = next(x for x in parser()._actions if isinstance(x, argparse._SubParsersAction))
+    return {name: [(x.option_strings or [""], [*map(str, x.choices or ())]) for x in sub._actions] for name, sub in subs.choices.items()}
+
+
 def _completions(shell: str) -> str:
-    flags = " ".join(f for f, _, _ in FLAGS)
+    options = _options()
+    words = {name: " ".join([f for flags, _ in rows for f in flags if f] + [c for flags, choices in rows if flags == [""] for c in choices]) for name, rows in options.items()}
+    values = {f: " ".join(choices) for rows in options.values() for flags, choices in rows for f in flags if f and choices}
     if shell == "bash":
-        return f'_loomframe() {{ COMPREPLY=($(compgen -W "{" ".join(COMMANDS)} {flags}" -- "${{COMP_WORDS[COMP_CWORD]}}")); }}\ncomplete -o default -F _loomframe loomframe'
+        cases = "\n".join([f'    {n}) words="{w}" ;;' for n, w in words.items()])
+        after = "\n".join([f'    {f}) COMPREPLY=($(compgen -W "{v}" -- "$here")); return ;;' for f, v in values.items()])
+        return f'''_loomframe() {{
+  local here="${{COMP_WORDS[COMP_CWORD]}}" words
+  case "${{COMP_WORDS[COMP_CWORD-1]}}" in
+{after}
+  esac
+  case "${{COMP_WORDS[1]}}" in
+{cases}
+    *) words="{" ".join(COMMANDS)}" ;;
+  esac
+  COMPREPLY=($(compgen -W "$words" -- "$here"))
+}}
+complete -o default -F _loomframe loomframe'''
     if shell == "zsh":
-        return f"#compdef loomframe\n_arguments '1:command:({' '.join(COMMANDS)})' '*:file:_files' {' '.join(f for f, _, _ in FLAGS)}"
-    return "\n".join([f"complete -c loomframe -n __fish_use_subcommand -a {c}" for c in COMMANDS] + [f"complete -c loomframe -l {f[2:]}" for f, _, _ in FLAGS])
+        cases = "\n".join([f"    {n}) compadd -- {w}; _files ;;" for n, w in words.items()])
+        return f'''#compdef loomframe
+_loomframe() {{
+  if (( CURRENT == 2 )); then compadd -- {" ".join(COMMANDS)}; return; fi
+  case "$words[2]" in
+{cases}
+  esac
+}}
+_loomframe "$@"'''
+    out = [f"complete -c loomframe -n __fish_use_subcommand -a {c}" for c in COMMANDS]
+    for name, rows in options.items():
+        for flags, choices in rows:
+            spelled = " ".join(f"-l {f[2:]}" if f.startswith("--") else f"-s {f[1:]}" for f in flags if f)
+            if spelled or choices:
+                out.append(f"complete -c loomframe -n '__fish_seen_subcommand_from {name}' {spelled}" + (f" -a '{' '.join(choices)}'" if choices else ""))
+    return "\n".join(out)
+
+
+def summary(seconds: float, n_bytes: int, rows: int | None = None) -> str:
+    """Rows, seconds, rows and MB a second."""
+    seconds = max(seconds, 1e-9)
+    parts = [f"{n_bytes / 1e6 / seconds:.1f} MB/s"] + ([f"{rows / seconds:,.0f} rows/s"] if rows is not None else [])
+    return f"{f'{rows:,} rows in ' if rows is not None else ''}{seconds:.2f} s ({', '.join(parts)})"
 
 
 def _read(spark: Any, a: argparse.Namespace, config: dict[str, Any]) -> Any:
@@ -135,8 +177,11 @@ def run(argv: list[str], spark: Any = None) -> int:
     kind = a.format or config.get("format") or "auto"
     began = time.time()
     table = _read(spark, a, config)
+    size = sum(n for _, n, _ in table.meta["files"])
+    n_rows = None
     if a.command == "count":
-        print(table.count())
+        n_rows = table.count()
+        print(n_rows)
     elif a.command in ("head", "tail"):
         print(render(table.first(a.n) if a.command == "head" else table.last(a.n), kind))
     elif a.command == "select":
@@ -145,7 +190,8 @@ def run(argv: list[str], spark: Any = None) -> int:
     elif a.command == "filter":
         found = table.filter(a.expression)
         print(render(found, kind))
-        print(f"{found.count()} of {table.count()} rows matched", file=sys.stderr)
+        n_rows = table.count()
+        print(f"{found.count()} of {n_rows} rows matched", file=sys.stderr)
     elif a.command == "sort":
         print(render(table.sort(a.column, descending=a.desc), kind))
     elif a.command == "stats":
@@ -153,6 +199,7 @@ def run(argv: list[str], spark: Any = None) -> int:
     elif a.command == "validate":
         report = validate(table)
         print(json.dumps(report, indent=2, ensure_ascii=False) if kind == "json" else "\n".join([f"rows: {report['rows']}", f"columns: {report['columns']} ({', '.join(report['headers'])})", *[f"row {e['row']}: {e['code']}: {e['message']}" for e in report["errors"]], "valid" if report["valid"] else f"{report['n_errors']} problems"]))
+        print(summary(time.time() - began, size, report["rows"]), file=sys.stderr)
         return 0 if report["valid"] else 1
     elif a.command == "convert":
         text = convert(table, a.to)
@@ -167,10 +214,9 @@ def run(argv: list[str], spark: Any = None) -> int:
             t = time.time()
             table.to_df().agg(*[F.max(F.length(F.col(f"`{c}`").cast("string"))) for c in table.columns]).collect()
             seconds.append(time.time() - t)
-        size = sum(n for _, n, _ in table.meta["files"])
         best = min(seconds[1:])
         print(json.dumps({"runs": a.runs, "avg_s": round(sum(seconds[1:]) / a.runs, 3), "best_s": round(best, 3), "worst_s": round(max(seconds[1:]), 3), "mb": round(size / 1e6, 3), "mb_per_s": round(size / 1e6 / best, 2)}))
-    print(f"{time.time() - began:.2f} s", file=sys.stderr)
+    print(summary(time.time() - began, size, n_rows), file=sys.stderr)
     return 0
 
 

@@ -17,17 +17,22 @@ def profile(table: Table, approximate: bool = False) -> DataFrame:
     """A row for each column: count, null_count (null or empty), unique_count, type, min, max, mean.
 
     A column is `number` if every value that is not empty begins with a number, else `categorical` with
-    at most 10 distinct values in more than 100 rows, else `string`.  `approximate` counts distinct
-    values by a sketch, which spares the shuffle of values on very large tables.
+    at most 10 distinct values in more than 100 rows, else `string`.  Distinct values are grouped as
+    (column, value) rows, combined before their shuffle; `approximate` counts them by a sketch instead,
+    which spares that shuffle on very large tables.
     """
     df, names = table.to_df(), table.columns
-    distinct = F.approx_count_distinct if approximate else F.count_distinct
     made = []
     for k, name in enumerate(names):
         text = F.nullif(col(name).cast("string"), F.lit(""))
         number = parse_float(text)
-        made += [F.count(text).alias(f"some{k}"), distinct(text).alias(f"unique{k}"), F.count(number).alias(f"number{k}"), F.min(number).alias(f"low{k}"), F.max(number).alias(f"high{k}"), F.avg(number).alias(f"mean{k}"), F.min(text).alias(f"least{k}"), F.max(text).alias(f"most{k}")]
+        made += [F.count(text).alias(f"some{k}"), *([F.approx_count_distinct(text).alias(f"unique{k}")] if approximate else []), F.count(number).alias(f"number{k}"), F.min(number).alias(f"low{k}"), F.max(number).alias(f"high{k}"), F.avg(number).alias(f"mean{k}"), F.min(text).alias(f"least{k}"), F.max(text).alias(f"most{k}")]
     one = df.agg(F.count(F.lit(1)).alias("n"), *made)
+    if not approximate:
+        cells = F.array(*[F.struct(F.lit(k).alias("k"), F.nullif(col(n).cast("string"), F.lit("")).alias("v")) for k, n in enumerate(names)])
+        values = df.select(F.explode(cells).alias("c")).select("c.*").where("v is not null").groupBy("k", "v").agg(F.lit(1).alias("one"))
+        counts = values.groupBy("k").agg(F.count(F.lit(1)).alias("n")).agg(F.map_from_entries(F.collect_list(F.struct("k", "n"))).alias("unique"))  # a row of one number a column
+        one = one.crossJoin(F.broadcast(counts)).select("*", *[F.coalesce(F.try_element_at("unique", F.lit(k)), F.lit(0)).alias(f"unique{k}") for k in range(len(names))])
     rows = []
     for k, name in enumerate(names):
         numeric = (F.col(f"some{k}") > 0) & (F.col(f"number{k}") == F.col(f"some{k}"))

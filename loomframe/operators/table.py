@@ -15,7 +15,7 @@ from pyspark.sql.types import LongType, NumericType, StringType, StructType
 
 from loomframe.functions.typing import parse_loose
 from loomframe.plans.filters import compile_filter
-from loomframe.plans.order import Order, positions, sort_columns
+from loomframe.plans.order import Order, median, positions, sort_columns
 
 POSITION = "__position"
 #: The reader's column of fields beyond the header; hidden until it is asked for.
@@ -200,8 +200,19 @@ class Table:
         return GroupedTable(self, name)
 
     def aggregate(self, specs: dict[str, tuple[str, str]], loose: bool = False) -> DataFrame:
-        """One row over the whole table: {output: (column, function)}; `loose` reads texts as numbers."""
-        return self._df.agg(*[_aggregate(self, c, fn, False, loose).alias(out) for out, (c, fn) in specs.items()])
+        """One row over the whole table: {output: (column, function)}; `loose` reads texts as numbers.
+
+        A median is found here and now, by range order: the others are one lazy aggregation.
+        """
+        made = []
+        for out, (c, fn) in specs.items():
+            if fn == "median":
+                _aggregate(self, c, fn, False, loose)  # for its checks
+                value = parse_loose(col(c)) if isinstance(self._df.schema[c].dataType, StringType) else col(c)
+                made.append(F.lit(median(self._df, value) or 0.0).cast("double").alias(out))
+            else:
+                made.append(_aggregate(self, c, fn, False, loose).alias(out))
+        return self._df.agg(*made) if any(fn != "median" for _, fn in specs.values()) else self._df.sparkSession.range(1).select(*made)
 
     def join(self, other: Table, on: str | tuple[str, str] | None = None, how: str = "inner") -> Table:
         """One-key join; null keys match each other, a column that both have comes from the right where it matched.
@@ -263,9 +274,8 @@ class GroupedTable:
         return Table(df, order)
 
     def apply(self, name: str, make: Callable[[list[Any]], Any], schema: str, out: str = "value") -> Table:
-        """A Python function over the ordered values of each group (a pandas UDF; groups must fit a worker)."""
+        """A Python function over the ordered values of each group (called once a group; a group must fit a worker)."""
         t = self.table
-        kind = t._df.schema[name].dataType
 
         @F.udf(returnType=schema, useArrow=True)
         def run(values: list[Any]) -> Any:
@@ -273,7 +283,6 @@ class GroupedTable:
 
         rank = _rank(t) if t._order else F.lit(0)
         lists = t._df.groupBy(col(self.name)).agg(F.array_sort(F.collect_list(F.struct(rank.alias("k"), col(name).alias("v")))).alias("__v"))
-        assert kind is not None
         return Table(lists.select(col(self.name), run("__v").alias(out)), [])
 
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -43,9 +41,7 @@ def _csv(spark: SparkSession, df: DataFrame, **options: object) -> Table:
     """`df` written as CSV into the shared folder by the executors, and read back by the reader."""
     folder = f"{shared_folder(spark)}/csv-{uuid.uuid4().hex}"
     made = Table(df)
-    header = df.sparkSession.createDataFrame([(",".join(df.columns),)], "line string")
     lines(made).select("line").write.text(f"{folder}/body")
-    header.write.text(f"{folder}/head")
     names = df.columns
     got = read_csv(spark, f"{folder}/body", has_header=False, **options)
     return Table(got._df.select(*[col(f"col{k}").alias(n) for k, n in enumerate(names)], *map(col, got.hidden)), got._order, meta=got.meta)
@@ -426,9 +422,8 @@ def stream_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(F.col("o_totalprice").cast("double")), 2).alias("total"))
 
 
-def csv_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """For the benchmark: a CSV export of lineitem, scanned whole."""
-    folder = os.path.join(tempfile.gettempdir(), f"loomframe-scan-{os.path.basename(sf_dir)}")
-    if not os.path.isdir(folder):
-        lines(Table(raw(spark, sf_dir, "lineitem"))).select("line").write.text(folder)
-    return read_csv(spark, folder, has_header=False, splittable=True).to_df()
+def csv_export(spark: SparkSession, sf_dir: str) -> str:
+    """A folder with lineitem as CSV, each file with a header."""
+    folder = f"{shared_folder(spark)}/scan-{uuid.uuid4().hex}"
+    raw(spark, sf_dir, "lineitem").write.csv(folder, header=True)
+    return folder

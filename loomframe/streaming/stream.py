@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import asyncio
+from collections.abc import AsyncIterator, Callable, Iterator
 from itertools import islice
 from typing import Any
 
@@ -32,16 +33,33 @@ class Handle:
         self.paused = False
 
 
-def step(table: Table, call: Callable[[dict[str, Any], Handle], None], handle: Handle | None = None) -> dict[str, Any]:
-    """Call back for each row {data, errors, meta} until aborted; a pause ends the call, and it can go on from `cursor`."""
+def step(table: Table, call: Callable[[dict[str, Any], Handle], None], handle: Handle | None = None, start: int = 0) -> dict[str, Any]:
+    """Call back for each row {data, errors, meta} until aborted; a pause ends the call.
+
+    `start` is the `cursor` of the last row seen, to go on from there.  `errors` are those of the row, by its
+    place in the table; both are read side by side in order, so neither is held whole.
+    """
     handle = handle or Handle()
-    n = 0
-    for row in table.rows():
+    n = start
+    found = (r.asDict() for r in table.errors().where(F.col("row") >= start).orderBy("row").toLocalIterator())
+    error = next(found, None)
+    for row in islice(table.rows(), start, None):
+        mine = []
+        while error is not None and error["row"] <= n:
+            mine += [error] if error["row"] == n else []
+            error = next(found, None)
         n += 1
-        call({"data": row, "errors": [], "meta": {**table.meta, "cursor": n}}, handle)
+        call({"data": row, "errors": mine, "meta": {**table.meta, "cursor": n}}, handle)
         if handle.aborted or handle.paused:
             break
-    return {"rows": n, "aborted": handle.aborted, "paused": handle.paused}
+    return {"rows": n - start, "aborted": handle.aborted, "paused": handle.paused}
+
+
+async def rows_async(table: Table) -> AsyncIterator[dict[str, Any]]:
+    """Rows one by one; the event loop goes on while Spark works."""
+    rows, end = table.rows(), object()
+    while (row := await asyncio.to_thread(next, rows, end)) is not end:
+        yield row
 
 
 def chunked(table: Table, call: Callable[[list[dict[str, Any]], Handle], None], size: int = 1000, handle: Handle | None = None) -> dict[str, Any]:
