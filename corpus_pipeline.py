@@ -11,8 +11,6 @@ document.  Extra columns are not carried on.  Empty tables give empty results.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,7 +18,7 @@ from pyspark.sql import functions as F
 
 from loomframe.llm import quality
 from loomframe.llm.bpe import encode_documents
-from loomframe.llm.common import cut, table
+from loomframe.llm.common import Scratch, cut, table
 from loomframe.llm.decontaminate import find_leaks
 from loomframe.llm.line_dedup import drop_repeated_lines
 from loomframe.llm.near_dedup import near_duplicates
@@ -75,11 +73,10 @@ ORACLE_SQL: str | None = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages applied to documents."""
-    sc = spark.sparkContext
-    shared = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir() or tempfile.mkdtemp(prefix="pipeline-")
-    folder = f"{shared}/pipeline-{uuid.uuid4().hex}"
+    tables = Scratch(spark)
     docs = table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
-        docs = spark.read.parquet(f"{folder}/{k}")
+        done, docs = docs, tables.save(stage(spark, docs, sf_dir))
+        if k:
+            tables.drop(done)
     return docs
