@@ -5,10 +5,10 @@ digits, repeated words, ...) and those of the lines before and after it; transit
 Forward-backward gives each line's marginal, and the document's score is their mean weighted by
 line length, then calibrated.
 
-Labels mark documents, not lines, so line tags are latent: training starts from tags equal to the
-document's label, and from step WARM on takes the marginals of the field to which each line's label
-adds EVIDENCE log odds (the E step; gradient steps are the M step).  A good document can so have bad
-lines, and transitions learn where tags change.
+Labels mark documents, not lines, so line tags are latent.  Training first fits a line's own features to
+the label of its document, then sets each line's tag by these, with EVIDENCE log odds for the document's
+label, and fits the whole field to the tags.  A good document can so have bad lines, and transitions
+learn where tags change.
 
 Training reads at most TRAIN_DOCS labelled documents, the ids of smallest hash.  Of each it takes one
 window of at most TRAIN_LINES lines that begins at a line chosen by the id's hash; every fourth
@@ -39,7 +39,7 @@ TRAIN_DOCS = 3000
 TRAIN_LINES = 30
 ROUNDS = 150
 WARM = 60
-EVIDENCE = 2.0
+EVIDENCE = 1.0
 THRESHOLD = 0.3
 
 _CLASSES = np.zeros((6, 256), bool)
@@ -164,7 +164,7 @@ def _pairs(ahead: np.ndarray, back: np.ndarray, norm: np.ndarray, odds: np.ndarr
 
 
 def fit(x: np.ndarray, first: np.ndarray, label: np.ndarray, rounds: int = ROUNDS, ridge: float = 1e-2) -> QualityModel:
-    """Maximum likelihood of the latent tags with a ridge, by Adam."""
+    """Maximum likelihood with a ridge, by Adam: of the documents' labels, then of the tags that follow from them."""
     if not len(label) or len(np.unique(label)) < 2:
         return QualityModel(np.zeros(N_FEATURES), np.ones(N_FEATURES), np.zeros(N_FEATURES), 0.0, np.zeros((2, 2)), prior=float(label.mean()) if len(label) else 0.5)
     mean, scale = x.mean(0), x.std(0) + 1e-3
@@ -184,12 +184,14 @@ def fit(x: np.ndarray, first: np.ndarray, label: np.ndarray, rounds: int = ROUND
         norm = np.repeat(total, np.diff(first))
         p = np.exp(ahead[:, 1] + back[:, 1] - norm)
         pair = _pairs(ahead, back, norm, odds, move, inside)
-        if step >= WARM:
-            told = odds + EVIDENCE * (2 * y - 1)
-            there, then, all_ = _sweep(told, first, move)
-            all_ = np.repeat(all_, np.diff(first))
-            goal, seen = np.exp(there[:, 1] + then[:, 1] - all_), _pairs(there, then, all_, told, move, inside)
+        warm = step < WARM
+        if step == WARM:
+            goal = (odds + EVIDENCE * (2 * y - 1) > 0).astype(np.float64)
+            seen = np.zeros((2, 2))
+            np.add.at(seen, (goal[inside - 1].astype(int), goal[inside].astype(int)), 1)
         grad = np.concatenate([z.T @ (p - goal), [(p - goal).sum()], (pair - seen).ravel()]) / n + ridge * theta
+        if warm:  # neighbours would tell a line the label of its document, before tags are its own
+            grad[N_OWN : N_FEATURES - 1] = grad[-4:] = 0
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
         theta = theta - 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
     return QualityModel(mean, scale, theta[:N_FEATURES], float(theta[N_FEATURES]), theta[-4:].reshape(2, 2).copy())
