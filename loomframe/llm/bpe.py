@@ -23,8 +23,9 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from .common import Texts, chunks, ship
+from .common import Texts, chunks, plain_names, ship
 
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Pieces whose ids a worker remembers; a full memory is emptied, which changes no result.
@@ -241,17 +242,16 @@ def encode_documents(docs: DataFrame, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = encoder(path)
         for batch in batches:
-            for part in chunks(batch):
-                texts = Texts(part.column("text"))
+            for part in chunks(batch, text):
+                texts = Texts(part.column(text))
                 ids = [bpe.encode_array(texts.bytes(i).decode()) for i in range(texts.n)]
                 ends = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
                 decoded = [bpe.decode(x).decode(errors="replace") for x in ids]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids))), pa.array(decoded, pa.string())], [*part.schema.names, "ids", "decoded"])
 
-    names = [c for c in docs.columns if c not in ("ids", "decoded")]
-    docs = docs.select(*[f"`{c}`" for c in names])
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", ids array<int>, decoded string"
-    return docs.mapInArrow(run, schema)
+    docs, names, (text,) = plain_names(docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in ("ids", "decoded")]), "text")
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in docs.schema) + ", ids array<int>, decoded string"
+    return docs.mapInArrow(run, schema).toDF(*names, "ids", "decoded")
 
 
 def token_digests(docs: DataFrame, path: str) -> DataFrame:

@@ -4,11 +4,13 @@ A window is `size` consecutive words of an item (the whole item where it has few
 seen as sequences of five-word shingles; shingles are ordered by how often they occur in the
 documents, and each window is looked for by its rarest shingle alone (for containment of all
 shingles the necessary prefix is one).  A hit gives the only place where the window could start;
-it must lie inside the document with its full length, and its words are then compared one by one.
+it must lie inside the document with its full length, and its words are then compared one by one, by
+two hashes of 64 bits each.
 
 Cases: null text has no words.  An item without words has no window; a null item_id counts as an
-item named "".  Rows of one item_id are one item.  Repeated documents are judged row by row.
-Empty tables on either side give no hits.
+item named "".  Rows of one item_id are one item.  Repeated documents are judged row by row,
+each text whole in one task; extra columns of any name stay, but for those of the results, which are
+replaced.  Empty tables on either side give no hits.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, Texts, chunks, mix, prefix_hash, range_hash, ship, words
+from .common import LOWER, Texts, _power, chunks, mix, plain_names, prefix_hash, range_hash, ship, words
 
 WINDOW = 10
 SHINGLE = 5
@@ -35,6 +37,9 @@ for _low, _high in ((0x00, 0x2F), (0x3A, 0x60), (0x7B, 0x7F)):
 _FOUND = "n_words bigint, runs array<bigint>, items array<string>"
 
 
+_BYTE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
+
+
 def _word_hashes(texts: Texts) -> tuple[np.ndarray, np.ndarray]:
     """A 64-bit hash for each lower-cased word, and where each row's words begin."""
     texts.data = LOWER[texts.data]
@@ -42,6 +47,15 @@ def _word_hashes(texts: Texts) -> tuple[np.ndarray, np.ndarray]:
     return range_hash(prefix_hash(texts.data), start, end), first
 
 
+def _checks(texts: Texts) -> np.ndarray:
+    """Another 64-bit hash of each word, of which only places that matched already are compared."""
+    start, end, _ = words(texts, _IS_WORD)
+    up, down = _power(len(texts.data) + 1)
+    sums = np.zeros(len(texts.data) + 1, np.uint64)
+    np.cumsum(_BYTE[texts.data] * up[: len(texts.data)], out=sums[1:])
+    return mix((sums[end] - sums[start]) * down[start])
+
+
 def _shingles(w: np.ndarray, size: int) -> np.ndarray:
     """Hash of the `size` words from each place on."""
     n = len(w) - size + 1
@@ -63,6 +77,7 @@ class _Index:
     """
 
     words: np.ndarray
+    checks: np.ndarray
     sizes: list[int]
     key: np.ndarray
     at: np.ndarray
@@ -72,8 +87,8 @@ class _Index:
     names: list[str]
 
 
-def _windows(rows: list, size: int) -> tuple[np.ndarray, list[tuple[int, int, int]], list[str]]:
-    """All words, (start, length, item) of each window, and the items' names."""
+def _windows(rows: list, size: int) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int, int]], list[str]]:
+    """All words by both hashes, (start, length, item) of each window, and the items' names."""
     texts = Texts(pa.array([r["text"] for r in rows], pa.string()))
     w, first = _word_hashes(texts)
     names = sorted({"" if r["item_id"] is None else str(r["item_id"]) for r in rows})
@@ -82,7 +97,7 @@ def _windows(rows: list, size: int) -> tuple[np.ndarray, list[tuple[int, int, in
     for row, lo, hi in zip(rows, first[:-1].tolist(), first[1:].tolist(), strict=True):
         item, n = number["" if row["item_id"] is None else str(row["item_id"])], hi - lo
         out += [(at, min(size, n), item) for at in range(lo, hi - min(size, n) + 1)] if n else []
-    return w, out, names
+    return w, _checks(texts), out, names
 
 
 def _candidates(w: np.ndarray, windows: list[tuple[int, int, int]]) -> dict[int, np.ndarray]:
@@ -117,7 +132,7 @@ def _frequencies(docs: DataFrame, wanted: dict[int, np.ndarray]) -> dict[int, in
 
 
 def _index(docs: DataFrame, rows: list, size: int) -> _Index | None:
-    w, windows, names = _windows(rows, size)
+    w, checks, windows, names = _windows(rows, size)
     if not windows:
         return None
     hashes = _candidates(w, windows)
@@ -131,13 +146,14 @@ def _index(docs: DataFrame, rows: list, size: int) -> _Index | None:
         at.append(start), length.append(n), offset.append(rarest), item.append(name)
     order = np.argsort(np.array(keys, np.uint64), kind="stable")
     pick = lambda x, kind=np.int64: np.array(x, kind)[order]
-    return _Index(w, sorted(hashes), pick(keys, np.uint64), pick(at), pick(length), pick(offset), pick(item), names)
+    return _Index(w, checks, sorted(hashes), pick(keys, np.uint64), pick(at), pick(length), pick(offset), pick(item), names)
 
 
-def _scan(w: np.ndarray, first: np.ndarray, index: _Index) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _scan(w: np.ndarray, first: np.ndarray, index: _Index, texts: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(start, end, item) of each window found among the rows' words."""
     row = np.repeat(np.arange(len(first) - 1), np.diff(first))
     found: list[tuple[np.ndarray, ...]] = []
+    checks = None
     for size in index.sizes:
         h = _shingles(w, size)
         low = np.searchsorted(index.key, h, "left")
@@ -157,7 +173,9 @@ def _scan(w: np.ndarray, first: np.ndarray, index: _Index) -> tuple[np.ndarray,
         same = np.ones(len(start), bool)
         for k in range(int(index.length[entry].max()) if len(entry) else 0):
             inside = k < index.length[entry]
-            same[inside] &= w[start[inside] + k] == index.words[index.at[entry[inside]] + k]
+            here, there = start[inside] + k, index.at[entry[inside]] + k
+            checks = _checks(texts) if checks is None else checks
+            same[inside] &= (w[here] == index.words[there]) & (checks[here] == index.checks[there])
         found.append((start[same], end[same], index.item[entry[same]]))
     if not found:
         none = np.zeros(0, np.int64)
@@ -165,7 +183,7 @@ def _scan(w: np.ndarray, first: np.ndarray, index: _Index) -> tuple[np.ndarray,
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
-def _find(docs: DataFrame, index: _Index | None) -> DataFrame:
+def _find(docs: DataFrame, text: str, index: _Index | None) -> DataFrame:
     """`docs` with n_words, hit runs (start, end, start, end, ... in words) and the names of items found."""
     spark = docs.sparkSession
     sent = spark.sparkContext.broadcast(index)
@@ -173,12 +191,13 @@ def _find(docs: DataFrame, index: _Index | None) -> DataFrame:
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = sent.value
         for batch in batches:
-            for part in chunks(batch):
-                w, first = _word_hashes(Texts(part.column("text")))
+            for part in chunks(batch, text):
+                texts = Texts(part.column(text))
+                w, first = _word_hashes(texts)
                 runs: list[list[int]] = [[] for _ in range(part.num_rows)]
                 items: list[list[str]] = [[] for _ in range(part.num_rows)]
                 if index is not None and len(w):
-                    start, end, item = _scan(w, first, index)
+                    start, end, item = _scan(w, first, index, texts)
                     order = np.argsort(start, kind="stable")
                     row = np.searchsorted(first, start, "right") - 1
                     for k in order.tolist():
@@ -192,7 +211,7 @@ def _find(docs: DataFrame, index: _Index | None) -> DataFrame:
                         items[r].append(index.names[k])
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(np.diff(first)), pa.array(runs, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.string()))], [*part.schema.names, "n_words", "runs", "items"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", " + _FOUND
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in docs.schema) + ", " + _FOUND
     return docs.mapInArrow(find, schema)
 
 
@@ -206,25 +225,28 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, block_
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text")
     total = items.agg(F.sum(F.length("text"))).head()[0] or 0
     n_blocks = max(1, -(-total // block_chars))
-    names = [c for c in docs.columns if c not in ("n_words", "n_hit", "items", "runs")]
-    docs = docs.select(*[F.col(f"`{c}`") for c in names])
-    block = lambda k: _index(docs, items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)) == k).collect(), size)
+    results = ["n_words", "n_hit", "items"]
+    docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in results])
+    texts = docs.select("text")
+    docs, names, (text,) = plain_names(docs, "text")
+    block = lambda k: _index(texts, items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)) == k).collect(), size)
     pairs = "transform(sequence(0, size(runs) div 2 - 1), k -> named_struct('s', runs[2 * k], 'e', runs[2 * k + 1]))"
     if n_blocks == 1:
-        out = _find(docs, block(0))
+        out = _find(docs, text, block(0))
         n_hit = F.expr(f"case when size(runs) = 0 then 0L else aggregate({pairs}, 0L, (a, r) -> a + r.e - r.s) end")
-        return out.select(*[F.col(f"`{c}`") for c in names], "n_words", n_hit.alias("n_hit"), "items")
-    key = F.xxhash64(*[F.col(f"`{c}`") for c in names])
-    parts = [_find(docs, block(k)).select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("doc"), key.alias("__key"), F.lit(k).alias("__block"), "n_words", "runs", "items") for k in range(n_blocks)]
-    base = parts[0].select("doc", "__key", "n_words", "runs", "items")
+        return out.select(*docs.columns, "n_words", n_hit.alias("n_hit"), "items").toDF(*names, *results)
+    # a row by 128 bits of its text, as hits depend on nothing else
+    keys = [F.xxhash64(text).alias("k1"), F.xxhash64(F.lit(9), text).alias("k2")]
+    parts = [_find(docs, text, block(k)).select(F.struct(*docs.columns).alias("doc"), *keys, F.lit(k).alias("block"), "n_words", "runs", "items") for k in range(n_blocks)]
+    base = parts[0].select("doc", "k1", "k2", "n_words", "runs", "items")
     more = parts[1]
     for p in parts[2:]:
         more = more.unionByName(p)
     # repeated documents give equal hits in every block, so one of each is enough
-    more = more.where("size(runs) > 0").groupBy("__key", "__block").agg(F.first("runs").alias("more_runs"), F.first("items").alias("more_items"))
-    more = more.groupBy("__key").agg(F.flatten(F.collect_list("more_runs")).alias("more_runs"), F.flatten(F.collect_list("more_items")).alias("more_items"))
-    both = base.join(more.hint("shuffle_hash"), "__key", "left")
+    more = more.where("size(runs) > 0").groupBy("k1", "k2", "block").agg(F.first("runs").alias("more_runs"), F.first("items").alias("more_items"))
+    more = more.groupBy("k1", "k2").agg(F.flatten(F.collect_list("more_runs")).alias("more_runs"), F.flatten(F.collect_list("more_items")).alias("more_items"))
+    both = base.join(more.hint("shuffle_hash"), ["k1", "k2"], "left")
     both = both.withColumn("runs", F.concat("runs", F.coalesce("more_runs", F.array().cast("array<bigint>")))).withColumn("items", F.array_sort(F.array_distinct(F.concat("items", F.coalesce("more_items", F.array().cast("array<string>"))))))
     merged = f"""case when size(runs) = 0 then 0L else aggregate(array_sort({pairs}), named_struct('n', 0L, 'last', 0L),
         (a, r) -> named_struct('n', a.n + greatest(0L, r.e - greatest(r.s, a.last)), 'last', greatest(a.last, r.e)), a -> a.n) end"""
-    return both.select(*[F.col(f"doc.`{c}`").alias(c) for c in names], "n_words", F.expr(merged).alias("n_hit"), "items")
+    return both.select("doc.*", "n_words", F.expr(merged).alias("n_hit"), "items").toDF(*names, *results)
