@@ -104,4 +104,20 @@ ORACLES: dict[str, str] = {
         select c_custkey, c_name, case when k < 4 then k + 2 else k + 3 end as place from r
         union all values (-1, 'first', 0), (-2, 'second', 1), (-3, 'sixth', 6) union all select -4, 'end', count(*) + 3 from t""",
     "stream_batches": "select o_orderstatus, count(*) as n, round(sum(o_totalprice), 2) as total from orders where o_totalprice > 50000 group by o_orderstatus",
+    "csv_headed_files": "select c_custkey::varchar as c_custkey, c_name, c_mktsegment from customer",
+    "csv_ragged": "select c_custkey::varchar as k, case when c_custkey % 7 <> 1 then c_name end as name, case when c_custkey % 7 = 0 then 'one|t,wo' end as extra from customer",
+    "csv_ragged_errors": f"""select case c_custkey % 7 when 0 then 'TooManyFields' else 'TooFewFields' end as code, i as row, 'Expected 2 fields but found ' || case c_custkey % 7 when 0 then 3 else 1 end as message
+        from (select c_custkey, {_ORDERED.format('c_custkey')} as i from customer) where c_custkey % 7 < 2""",
+    "csv_skip_errors": "select c_custkey::varchar as k, c_name as name from customer where c_custkey % 7 <> 1",
+    "csv_comments": "select c_custkey::varchar as k, c_name as name from customer where c_custkey % 5 <> 0",
+    "csv_preamble": "select c_custkey::varchar as k, c_name || chr(10) || c_mktsegment as name from customer",
+    "csv_record_size": "select c_custkey::varchar as k, c_name as name from customer where length(c_custkey::varchar) + length(c_name) + 2 * (c_custkey % 2) <= 21",
+    "csv_delimiter": "select c_custkey::varchar as k, c_name as name, c_mktsegment as segment from customer",
+    "csv_twice_named": "select c_custkey::varchar as k, c_name as v, c_mktsegment as v_1, c_nationkey::varchar as col3 from customer",
+    "csv_fast": """select c_custkey::varchar as k, '"' || c_name as name from customer where c_custkey % 5 <> 0""",
+    "csv_utf16": "select c_custkey::varchar as c_custkey, c_name from customer",
+    "csv_strict": "select doc_id, octet_length(encode(coalesce(text, '')))::bigint as n_bytes, md5(coalesce(text, '')) as digest from documents",
+    "csv_hooks": f"select c_custkey * 2 as k0, upper(c_name) || '!' as name1 from (select *, {_ORDERED.format('c_custkey')} as i from customer) where i % 3 <> 0",
+    "validate_report": "select count(*) filter (where c_custkey % 7 = 1) = 0 as valid, count(*) as n_rows, 2::bigint as n_columns, count(*) filter (where c_custkey % 7 = 1) as n_errors from customer",
+    "pull_chunks": f"select i // 10 as chunk, count(*) as n, min_by(n_name, i) as first from (select n_name, {_ORDERED.format('n_nationkey')} as i from nation) group by i // 10",
 }

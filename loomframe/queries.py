@@ -12,12 +12,12 @@ from loomframe.functions import typing as ty
 from loomframe.functions.text import escape_formula, trim
 from loomframe.operators.edits import EditLog
 from loomframe.operators.nested import flatten, unflatten
-from loomframe.operators.profile import profile
+from loomframe.operators.profile import profile, validate
 from loomframe.operators.table import Table, col
 from loomframe.session import shared_folder
 from loomframe.sources.reader import read_csv
 from loomframe.sources.sinks import json_lines, lines, tsv_lines
-from loomframe.streaming.stream import read_stream, run_batches
+from loomframe.streaming.stream import batches, read_stream, run_batches
 
 KEYS = {"orders": "o_orderkey", "customer": "c_custkey", "events": "event_id", "documents": "doc_id", "part": "p_partkey", "supplier": "s_suppkey", "nation": "n_nationkey", "region": "r_regionkey"}
 Query = Callable[[SparkSession, str], DataFrame]
@@ -422,6 +422,122 @@ def stream_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(F.col("o_totalprice").cast("double")), 2).alias("total"))
 
 
+# reader options on files that need them
+def _file(spark: SparkSession, head: str, df: DataFrame, key: str) -> str:
+    """A folder with one CSV file: the head, then column `line` in the order of `key` (small tables, as the head stands once)."""
+    folder = f"{shared_folder(spark)}/file-{uuid.uuid4().hex}"
+    first = spark.range(1).select(F.lit(-1).cast("bigint").alias("k"), F.lit(head).alias("line"))
+    first.unionByName(df.select(col(key).cast("bigint").alias("k"), "line")).orderBy("k").select("line").coalesce(1).write.text(folder)
+    return folder
+
+
+def _customers(spark: SparkSession, sf_dir: str, line: str) -> DataFrame:
+    return raw(spark, sf_dir, "customer").select("c_custkey", F.expr(line).alias("line"))
+
+
+@query
+def csv_headed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Several files, each with its header, every value quoted."""
+    folder = f"{shared_folder(spark)}/headed-{uuid.uuid4().hex}"
+    raw(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment").repartition(5, "c_custkey").write.csv(folder, header=True, quoteAll=True)
+    return read_csv(spark, folder).to_df()
+
+
+@query
+def csv_ragged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = _file(spark, "k,name", _customers(spark, sf_dir, "concat_ws(',', c_custkey, if(c_custkey % 7 = 1, null, c_name), if(c_custkey % 7 = 0, 'one,\"t,wo\"', null))"), "c_custkey")
+    return read_csv(spark, folder).with_parsed_extra().to_df().select("k", "name", F.array_join("__parsed_extra", "|").alias("extra"))
+
+
+@query
+def csv_ragged_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = _file(spark, "k,name", _customers(spark, sf_dir, "concat_ws(',', c_custkey, if(c_custkey % 7 = 1, null, c_name), if(c_custkey % 7 = 0, 'one', null))"), "c_custkey")
+    return read_csv(spark, folder).errors().select("code", "row", "message")
+
+
+@query
+def csv_skip_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = _file(spark, "k,name", _customers(spark, sf_dir, "concat_ws(',', c_custkey, if(c_custkey % 7 = 1, null, c_name))"), "c_custkey")
+    return read_csv(spark, folder, skip_records_with_error=True).to_df()
+
+
+@query
+def csv_comments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = _file(spark, "# a comment\nk,name", _customers(spark, sf_dir, "concat(if(c_custkey % 5 = 0, '#', ''), c_custkey, ',', c_name)"), "c_custkey")
+    return read_csv(spark, folder, comments=True).to_df()
+
+
+@query
+def csv_preamble(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = _file(spark, "made, by \"us\nsecond line\nk,name", _customers(spark, sf_dir, "concat(c_custkey, ',\"', c_name, '\n', c_mktsegment, '\"')"), "c_custkey")
+    return read_csv(spark, folder, skip_first_n_lines=2).to_df()
+
+
+@query
+def csv_record_size(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quotes count towards the size of a record."""
+    folder = _file(spark, "k,name", _customers(spark, sf_dir, "concat(c_custkey, ',', if(c_custkey % 2 = 1, concat('\"', c_name, '\"'), c_name))"), "c_custkey")
+    return read_csv(spark, folder, max_record_size=21, skip_records_with_error=True).to_df()
+
+
+@query
+def csv_delimiter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = _file(spark, "k|name|segment", _customers(spark, sf_dir, "concat_ws('|', c_custkey, c_name, c_mktsegment)"), "c_custkey")
+    return read_csv(spark, folder, delimiter="auto").to_df()
+
+
+@query
+def csv_twice_named(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = _file(spark, "k,v,v,", _customers(spark, sf_dir, "concat_ws(',', c_custkey, c_name, c_mktsegment, c_nationkey)"), "c_custkey")
+    return read_csv(spark, folder).to_df()
+
+
+@query
+def csv_fast(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fast mode: quotes are text, comment signs may be long."""
+    folder = _file(spark, "k,name", _customers(spark, sf_dir, "concat(if(c_custkey % 5 = 0, '//', ''), c_custkey, ',\"', c_name)"), "c_custkey")
+    return read_csv(spark, folder, fast_mode=True, comments="//").to_df()
+
+
+@query
+def csv_utf16(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = f"{shared_folder(spark)}/wide-{uuid.uuid4().hex}"
+    raw(spark, sf_dir, "customer").select("c_custkey", "c_name").coalesce(1).write.csv(folder, header=True, encoding="UTF-16LE")
+    return read_csv(spark, folder).to_df()
+
+
+@query
+def csv_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts with line ends and doubled quotes, read in parts by the exact rules."""
+    folder = f"{shared_folder(spark)}/texts-{uuid.uuid4().hex}"
+    raw(spark, sf_dir, "documents").select(F.expr("concat(doc_id, ',\"', replace(coalesce(text, ''), '\"', '\"\"'), '\"')").alias("value")).write.text(folder)
+    got = read_csv(spark, folder, has_header=False, strict=True).to_df()
+    return got.select(col("col0").cast("bigint").alias("doc_id"), F.octet_length("col1").cast("bigint").alias("n_bytes"), F.md5("col1").alias("digest"))
+
+
+@query
+def csv_hooks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Header and value transforms, a cast, and a hook on records."""
+    folder = _file(spark, "k,name", _customers(spark, sf_dir, "concat_ws(',', c_custkey, c_name)"), "c_custkey")
+    keep = lambda values, at: None if at["index"] % 3 == 0 else [values[0], values[1] + "!"]
+    got = read_csv(spark, folder, transform_header=lambda name, k: f"{name}{k}", on_record=keep, transform=lambda c, name: F.upper(c) if name == "name1" else c, cast={"k0": lambda c: c.cast("bigint") * 2})
+    return got.to_df()
+
+
+@query
+def validate_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = _file(spark, "k,name", _customers(spark, sf_dir, "concat_ws(',', c_custkey, if(c_custkey % 7 = 1, null, c_name))"), "c_custkey")
+    r = validate(read_csv(spark, folder))
+    return spark.createDataFrame([(r["valid"], r["rows"], r["columns"], r["n_errors"])], "valid boolean, n_rows bigint, n_columns bigint, n_errors bigint")
+
+
+@query
+def pull_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows pulled in order, ten at a time."""
+    made = [(k, len(part), part[0][1]) for k, part in enumerate(batches(table(spark, sf_dir, "nation").select("n_nationkey", "n_name"), 10))]
+    return spark.createDataFrame(made, "chunk bigint, n bigint, first string")
+
+
 def csv_export(spark: SparkSession, sf_dir: str) -> str:
     """A folder with lineitem as CSV, each file with a header."""
     folder = f"{shared_folder(spark)}/scan-{uuid.uuid4().hex}"
