@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,7 +13,7 @@ from loomframe.operators.edits import EditLog
 from loomframe.operators.nested import flatten, unflatten
 from loomframe.operators.profile import profile, validate
 from loomframe.operators.table import Table, col
-from loomframe.session import shared_folder
+from loomframe.session import fresh
 from loomframe.sources.reader import read_csv
 from loomframe.sources.sinks import json_lines, lines, tsv_lines
 from loomframe.streaming.stream import batches, read_stream, run_batches
@@ -39,7 +38,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> Table:
 
 def _csv(spark: SparkSession, df: DataFrame, **options: object) -> Table:
     """`df` written as CSV into the shared folder by the executors, and read back by the reader."""
-    folder = f"{shared_folder(spark)}/csv-{uuid.uuid4().hex}"
+    folder = fresh(spark, "csv")
     made = Table(df)
     lines(made).select("line").write.text(f"{folder}/body")
     names = df.columns
@@ -408,7 +407,7 @@ def edits_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def stream_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files of a folder in micro-batches, each appended by its batch number, against the batch result."""
-    base = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    base = fresh(spark, "stream")
     df = raw(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
     lines(Table(df.repartition(4, "o_orderkey"))).select("line").write.text(f"{base}/in")
     stream = read_stream(spark, f"{base}/in", df.columns, has_header=False, where="o_totalprice > 50000", max_files=1)
@@ -425,7 +424,7 @@ def stream_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
 # reader options on files that need them
 def _file(spark: SparkSession, head: str, df: DataFrame, key: str) -> str:
     """A folder with one CSV file: the head, then column `line` in the order of `key` (small tables, as the head stands once)."""
-    folder = f"{shared_folder(spark)}/file-{uuid.uuid4().hex}"
+    folder = fresh(spark, "file")
     first = spark.range(1).select(F.lit(-1).cast("bigint").alias("k"), F.lit(head).alias("line"))
     first.unionByName(df.select(col(key).cast("bigint").alias("k"), "line")).orderBy("k").select("line").coalesce(1).write.text(folder)
     return folder
@@ -438,7 +437,7 @@ def _customers(spark: SparkSession, sf_dir: str, line: str) -> DataFrame:
 @query
 def csv_headed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Several files, each with its header, every value quoted."""
-    folder = f"{shared_folder(spark)}/headed-{uuid.uuid4().hex}"
+    folder = fresh(spark, "headed")
     raw(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment").repartition(5, "c_custkey").write.csv(folder, header=True, quoteAll=True)
     return read_csv(spark, folder).to_df()
 
@@ -501,7 +500,7 @@ def csv_fast(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def csv_utf16(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = f"{shared_folder(spark)}/wide-{uuid.uuid4().hex}"
+    folder = fresh(spark, "wide")
     raw(spark, sf_dir, "customer").select("c_custkey", "c_name").coalesce(1).write.csv(folder, header=True, encoding="UTF-16LE")
     return read_csv(spark, folder).to_df()
 
@@ -509,7 +508,7 @@ def csv_utf16(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def csv_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts with line ends and doubled quotes, read in parts by the exact rules."""
-    folder = f"{shared_folder(spark)}/texts-{uuid.uuid4().hex}"
+    folder = fresh(spark, "texts")
     raw(spark, sf_dir, "documents").select(F.expr("concat(doc_id, ',\"', replace(coalesce(text, ''), '\"', '\"\"'), '\"')").alias("value")).write.text(folder)
     got = read_csv(spark, folder, has_header=False, strict=True).to_df()
     return got.select(col("col0").cast("bigint").alias("doc_id"), F.octet_length("col1").cast("bigint").alias("n_bytes"), F.md5("col1").alias("digest"))
@@ -540,6 +539,6 @@ def pull_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def csv_export(spark: SparkSession, sf_dir: str) -> str:
     """A folder with lineitem as CSV, each file with a header."""
-    folder = f"{shared_folder(spark)}/scan-{uuid.uuid4().hex}"
+    folder = fresh(spark, "scan")
     raw(spark, sf_dir, "lineitem").write.csv(folder, header=True)
     return folder

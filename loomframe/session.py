@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import codecs
-import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -68,13 +68,18 @@ def head_bytes(spark: SparkSession, path: str, most: int) -> bytes:
         stream.close()
 
 
-def _target(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/loomframe-{os.getpid()}-{os.urandom(6).hex()}/{name}"
+def fresh(spark: SparkSession, name: str) -> str:
+    """A path for new files in the shared folder; what is there goes when the driver ends."""
+    folder = f"{shared_folder(spark)}/loomframe-{uuid.uuid4().hex}"
+    fs, where = _fs(spark, folder)
+    fs.mkdirs(where)
+    fs.deleteOnExit(where)
+    return f"{folder}/{name}"
 
 
 def spool(spark: SparkSession, data: bytes, name: str = "spooled.csv") -> str:
     """Put bytes into the shared folder, where all executors can read them."""
-    target = _target(spark, name)
+    target = fresh(spark, name)
     fs, where = _fs(spark, target)
     stream = fs.create(where, True)
     try:
@@ -115,7 +120,7 @@ def spool_body(spark: SparkSession, paths: list[str], mark: int, lines: int, enc
         encoding = known = f"{known}-le"
     newline = "\n".encode(known)
     jvm = spark.sparkContext._jvm
-    target = target or _target(spark, name)
+    target = target or fresh(spark, name)
     fs, where = _fs(spark, target)
     writer = jvm.java.io.OutputStreamWriter(fs.create(where, True), "UTF-8")
     try:
@@ -137,7 +142,7 @@ def spool_body(spark: SparkSession, paths: list[str], mark: int, lines: int, enc
 
 def recoded(spark: SparkSession, paths: list[str], encoding: str) -> str:
     """A folder with UTF-8 copies of files, in their order."""
-    folder = _target(spark, "recoded")
+    folder = fresh(spark, "recoded")
     for k, path in enumerate(paths):
         spool_body(spark, [path], 0, 0, encoding, target=f"{folder}/{k:06d}.csv")
     return folder
