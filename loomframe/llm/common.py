@@ -84,13 +84,18 @@ class Scratch:
         before = conf.get(_CLEAN, "false")
         conf.set(_CLEAN, "true")
         try:
-            df.write.option("compression", "zstd").partitionBy(*by).parquet(where)
+            df.write.option("compression", "snappy").partitionBy(*by).parquet(where)
         finally:
             conf.set(_CLEAN, before)
         out = self.spark.read.schema(df.schema).parquet(where)
         out.scratch = where
         return out
 
+    def size(self, table: DataFrame) -> int:
+        """Bytes of its files."""
+        fs, path = self._path(table.scratch)
+        return fs.getContentSummary(path).getLength()
+
     def drop(self, *tables: DataFrame) -> None:
         for df in tables:
             fs, path = self._path(df.scratch)

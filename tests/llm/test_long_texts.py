@@ -1,6 +1,7 @@
 """op2_suffix_dedup on texts that are read in several pieces."""
 
 import random
+from functools import partial
 
 import pytest
 from test_contracts import repeated_texts, without_repeats
@@ -12,20 +13,8 @@ from loomframe.llm.suffix_dedup import remove_repeats
 
 @pytest.mark.parametrize("piece,batches", [(300, 1), (1000, 2), (64, 1)])
 def test_repeats_across_small_pieces_are_those_of_brute_force(make, monkeypatch, piece, batches):
-    def in_pieces(name):
-        def call(*given):
-            from loomframe.llm import suffix_dedup as there  # a worker's own module, where nothing else is patched
-
-            before, there.CHUNK_BYTES = there.CHUNK_BYTES, piece
-            try:
-                return getattr(there, name)(*given)
-            finally:
-                there.CHUNK_BYTES = before
-
-        return call
-
     for name in ("anchors", "_hashes"):
-        monkeypatch.setattr(suffix_dedup, name, in_pieces(name))
+        monkeypatch.setattr(suffix_dedup, name, partial(getattr(suffix_dedup, name), piece=piece))
     texts = repeated_texts()
     got = {r.doc_id: r for r in remove_repeats(make(list(enumerate(texts))), 200, batches).collect()}
     for k, (kept, removed, spans) in enumerate(without_repeats(texts, 200)):
