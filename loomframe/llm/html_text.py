@@ -210,7 +210,7 @@ class Forest:
     def run(self, weight: np.ndarray, tables: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Log beliefs from below, messages to parents, and marginal log beliefs of all nodes (nodes, 2)."""
         below = np.zeros((len(self.x), 2))
-        below[:, 1] = self.x @ weight
+        below[:, 1] = np.einsum("ij,j->i", self.x, weight)  # such small products only wait for each other in several threads
         sent = np.zeros_like(below)
         for level in reversed(self.levels):
             t = tables[self.kind[level]]
@@ -263,7 +263,7 @@ def fit(forest: Forest, label: np.ndarray, rounds: int = 250, ridge: float = 2e-
         pair /= pair.sum((1, 2), keepdims=True)
         expected = np.zeros_like(tables)
         np.add.at(expected, forest.kind[child], pair)
-        grads = [forest.x.T @ (p - label) / n + ridge * weight, (expected - seen) / n + ridge * tables]
+        grads = [np.einsum("ij,i->j", forest.x, p - label) / n + ridge * weight, (expected - seen) / n + ridge * tables]
         for w, g, mv in zip((weight, tables), grads, moments, strict=True):
             mv[0] = 0.9 * mv[0] + 0.1 * g
             mv[1] = 0.99 * mv[1] + 0.01 * g**2
