@@ -33,7 +33,8 @@ def scan(spark: SparkSession, path: str, names: list[str], delimiter: str, quote
     parts = text.select(F.col("_metadata.file_path").alias("__file"), F.col("_metadata.file_block_start").alias("__block"), quotes.alias("q")).groupBy("__file", "__block").agg(F.sum("q").alias("q"))
     # a row a part
     before = Window.partitionBy("__file").orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
-    starts = parts.select("__file", "__block", (F.coalesce(F.sum("q").over(before), F.lit(0)) % 2 == 1).alias("inside"))
+    sums = parts.select("__file", "__block", "q", F.coalesce(F.sum("q").over(before), F.lit(0)).alias("before"))
+    starts = sums.select("__file", "__block", (F.col("before") % 2 == 1).alias("inside"), ((F.col("before") + F.col("q")) % 2 == 1).alias("open"))
     told = lines.join(F.broadcast(starts), ["__file", "__block"])
     width = len(names)
     schema = f"{', '.join(f'v{k} string' for k in range(width))}, raw string, n int, size bigint, __file string, __block bigint, __seq0 bigint, __k bigint, kind int, lead boolean"
@@ -108,7 +109,8 @@ def scan(spark: SparkSession, path: str, names: list[str], delimiter: str, quote
                 yield batch(rows)
 
     whole = told.mapInArrow(parts_of(False), schema)
-    pieces = told.mapInArrow(parts_of(True), schema).select("raw", "__file", "__block", "__seq0", "kind", "lead")
+    # only parts that a record goes into or out of have any
+    pieces = told.where("inside or open").mapInArrow(parts_of(True), schema).select("raw", "__file", "__block", "__seq0", "kind", "lead")
     # each tail begins a record that the pieces after it go on with
     along = Window.partitionBy("__file").orderBy("__block", "kind")
     chained = pieces.withColumn("chain", F.sum(F.when(F.col("kind") == _TAIL, 1).otherwise(0)).over(along))
