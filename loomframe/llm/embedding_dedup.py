@@ -58,7 +58,7 @@ def hadamard(x: np.ndarray) -> np.ndarray:
 @lru_cache(maxsize=64)
 def _agreement(threshold: float, dim: int) -> tuple[float, float]:
     """Chances that a pair at the threshold agrees in one hash, and that one's second choice is the other's first."""
-    n = max(2000, 4_000_000 // dim)
+    n = max(2000, 1_000_000 // dim)
     rng = np.random.default_rng(dim)
     x = rng.normal(size=(n, dim))
     y = threshold * x + math.sqrt(1 - threshold**2) * rng.normal(size=(n, dim))
