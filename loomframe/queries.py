@@ -37,12 +37,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> Table:
 
 
 def _csv(spark: SparkSession, df: DataFrame, **options: object) -> Table:
-    """`df` written as CSV into the shared folder by the executors, and read back by the reader."""
+    """`df` written as CSV into the shared folder by the executors, and read back by the reader; null and empty text differ."""
     folder = fresh(spark, "csv")
     made = Table(df)
-    lines(made).select("line").write.text(f"{folder}/body")
+    lines(made, mark_empty=True).select("line").write.text(f"{folder}/body")
     names = df.columns
-    got = read_csv(spark, f"{folder}/body", has_header=False, **options)
+    got = read_csv(spark, f"{folder}/body", has_header=False, encoding="UTF-8", line_end="\n", **options)
+    if not got.columns:  # no rows
+        return Table(df.limit(0))
     return Table(got._df.select(*[col(f"col{k}").alias(n) for k, n in enumerate(names)], *map(col, got.hidden)), got._order, meta=got.meta)
 
 

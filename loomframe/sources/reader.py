@@ -17,6 +17,7 @@ import base64
 import os
 import urllib.parse
 import urllib.request
+import uuid
 from collections.abc import Callable, Iterable, Iterator, Sequence
 from dataclasses import dataclass, field, fields
 from typing import Any
@@ -80,12 +81,15 @@ class ReadOptions:
     on_record: Callable[[list, dict], list | None] | None = None
     strict: bool = False
     splittable: bool = False
+    line_end: str | None = None
 
     def __post_init__(self) -> None:
         if self.duplicate_headers not in ("rename", "error"):
             raise ValueError("duplicate_headers is rename or error")
         if self.delimiter != "auto" and len(self.delimiter) != 1:
             raise ValueError("a delimiter is one character, or auto")
+        if self.line_end not in (None, "\n"):
+            raise ValueError("a line end that holds for all files is LF; others are found in each file")
 
     @property
     def comment(self) -> str | None:
@@ -183,8 +187,9 @@ def _head(spark: SparkSession, path: str, options: ReadOptions) -> tuple[str, li
         _, mark = detect.detect_mark(raw)
         text = raw[mark:].decode(encoding, "replace")
         delimiter = detect.detect_delimiter(text, options.delimiters_to_guess, quote) if options.delimiter == "auto" else options.delimiter
-        lead, whole = None, False
-        for record in strict.records(text, delimiter, quote):
+        lead, whole, end = None, False, 0
+        for record, at in strict.ended_records(text, delimiter, quote):
+            end = end or at
             if lead is not None:
                 whole = True
                 break
@@ -196,7 +201,8 @@ def _head(spark: SparkSession, path: str, options: ReadOptions) -> tuple[str, li
     if lead is None:
         return delimiter, [], encoding, "\n"
     names = header_names([strict.field(f, quote) for f in lead], options) if options.has_header else [f"col{k}" for k in range(len(lead))]
-    return delimiter, names, encoding, detect.detect_linebreak(text)
+    # what ends the first record, not what may stand in its quotes
+    return delimiter, names, encoding, detect.detect_linebreak(text[max(0, end - 2) : end])
 
 
 def _lead(spark: SparkSession, path: str, delimiter: str, encoding: str, o: ReadOptions) -> bytes | None:
@@ -263,19 +269,28 @@ def _value(raw: Column, quote: str) -> Column:
     return F.when((F.length(raw) > 1) & F.startswith(raw, F.lit(quote)) & F.endswith(raw, F.lit(quote)), inner).otherwise(F.nullif(raw, F.lit("")))
 
 
-def _scan(spark: SparkSession, path: str, names: list[str], delimiter: str, encoding: str, o: ReadOptions, raw: bool) -> DataFrame:
-    """All-text scan; unquoted empty fields are null, quoted ones empty text."""
+def _scan(spark: SparkSession, path: str, names: list[str], delimiter: str, encoding: str, o: ReadOptions, raw: bool, linebreak: str | None = None) -> DataFrame:
+    """All-text scan; unquoted empty fields are null, quoted ones empty text.
+
+    `linebreak` ends the records of all files.  Without it the source takes the first line end of each file, even one in
+    quotes: after a CR there, it takes records apart wrongly and changes the line ends in quotes.
+    """
     schema = StructType([StructField(n, StringType()) for n in names])
     if raw:
         schema = schema.add(_RAW, StringType())
     quote = "" if o.fast_mode else o.quote_char
     settings = {
-        "sep": delimiter, "quote": quote, "escape": quote if o.escape_char is None else o.escape_char, "comment": o.comment or "", "encoding": encoding, "nullValue": "\x00", "emptyValue": "",
+        "sep": delimiter, "quote": quote, "escape": quote if o.escape_char is None else o.escape_char, "comment": o.comment or "", "encoding": encoding, "nullValue": f"\x00{uuid.uuid4().hex}", "emptyValue": "",
         "mode": "PERMISSIVE", "columnNameOfCorruptRecord": _RAW, "maxCharsPerColumn": "-1", "columnPruning": str(not raw).lower(), "enforceSchema": "true",
     }
     if not quote:
         settings |= {"quote": "\x00", "escape": "\x00"}
+    elif settings["escape"] == quote:
+        # by default NUL, which the source then leaves out of quoted text
+        settings["charToEscapeQuoteEscaping"] = quote
     multi = not (o.splittable or o.fast_mode)
+    if multi and linebreak == "\n":
+        settings["lineSep"] = linebreak
     return spark.read.schema(schema).options(**settings, header=str(o.has_header).lower(), multiLine=str(multi).lower()).csv(path)
 
 
@@ -307,7 +322,7 @@ def read_csv(spark: SparkSession, source: Any, options: ReadOptions | None = Non
         df = _strict(spark, path, names, delimiter, encoding, o)
         order, single = [("__file", True), ("__in_file", True)], False
     else:
-        df = _scan(spark, path, names, delimiter, encoding, o, raw)
+        df = _scan(spark, path, names, delimiter, encoding, o, raw, o.line_end or (linebreak if len(meta["files"]) == 1 else None))
         if raw:
             # the source refuses queries that read the raw text alone, so a data column takes part
             some = F.coalesce(F.length(col(names[0])) * 0, F.lit(0))

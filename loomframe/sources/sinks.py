@@ -17,8 +17,8 @@ from loomframe.operators.table import Table, col
 from loomframe.plans.order import sort_columns
 
 
-def lines(table: Table, delimiter: str = ",", quote_char: str = '"', escape_char: str | None = None, quotes: bool | Sequence[bool] | str = False, escape_formulae: bool | str = False, columns: Sequence[str] | None = None, skip_empty_lines: bool | str = False, spaces: bool = True) -> DataFrame:
-    """(line) of each row, with the table's hidden order columns; `quotes` may be "non-numeric"."""
+def lines(table: Table, delimiter: str = ",", quote_char: str = '"', escape_char: str | None = None, quotes: bool | Sequence[bool] | str = False, escape_formulae: bool | str = False, columns: Sequence[str] | None = None, skip_empty_lines: bool | str = False, spaces: bool = True, mark_empty: bool = False) -> DataFrame:
+    """(line) of each row, with the table's hidden order columns; `quotes` may be "non-numeric".  With `mark_empty` empty text is quoted and null is not."""
     names = list(columns) if columns else table.columns
     shown = table.select(*names, lenient=True)
     types = {f.name: f.dataType for f in shown._df.schema}
@@ -29,7 +29,9 @@ def lines(table: Table, delimiter: str = ",", quote_char: str = '"', escape_char
             text = escape_formula(text, FORMULA if escape_formulae is True else escape_formulae)
         force = not is_number(types[name]) if quotes == "non-numeric" else quotes if isinstance(quotes, bool) else k < len(quotes) and quotes[k]
         field = quote_field(text, delimiter, quote_char, escape_char, bool(force), spaces)
-        out.append(F.when(col(name).isNull(), F.lit("")).otherwise(field) if quotes == "non-numeric" else field)
+        if mark_empty:
+            field = F.when(text == "", F.lit(quote_char * 2)).otherwise(field)
+        out.append(F.when(col(name).isNull(), F.lit("")).otherwise(field) if mark_empty or quotes == "non-numeric" else field)
     df = shown._df
     if skip_empty_lines:
         texts = F.array(*[serialize(col(n), types[n]) for n in names])
